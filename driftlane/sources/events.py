@@ -136,11 +136,11 @@ def sequence_view(lineitem: DataFrame, p: Params, groups: int = 3) -> DataFrame:
     order = Window.partitionBy("entity_id", "session_id").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
     df = lineitem.select(
         F.col("l_suppkey").alias("entity_id"), session.alias("session_id"), F.trunc(day, "quarter").alias("session_date"), "l_orderkey", "l_linenumber", "l_partkey",
-        "l_shipdate", "l_quantity", "l_extendedprice", F.col("l_returnflag").alias("kind"), F.col("l_linestatus").alias("status"),
+        "l_shipdate", "l_quantity", "l_extendedprice", F.col("l_returnflag").alias("kind"), F.col("l_linestatus").alias("line_status"),
         F.col("l_quantity").alias("f1"), (F.col("l_extendedprice") / 1000).alias("f2"), (F.col("l_discount") * 100).alias("f3"), (F.col("l_tax") * 100).alias("f4"), (F.col("l_discount") * 10).alias("raw_outcome"),
     )
     df = df.withColumn("event_no", F.row_number().over(order).cast("long"))
     return df.select(
-        *EVENT, "session_date", "kind", "status", "f1", "f2", "f3", "f4", "raw_outcome", "l_orderkey",
+        *EVENT, "session_date", "kind", "line_status", "f1", "f2", "f3", "f4", "raw_outcome", "l_orderkey",
         F.ceil(F.col("event_no") / groups).cast("long").alias("group_no"), temporal_split(F.col("session_date"), p).alias("split"), (F.col("event_no") <= p.calibration).alias("is_calibration"),
     )
