@@ -19,6 +19,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -81,6 +82,14 @@ class Chunks:
         return out
 
 
+def kept_chunks(path: str) -> Chunks:
+    """The worker process's memo: it outlives the task, so later tasks of the worker start with it."""
+    kept = sys.__dict__.setdefault("_driftlane_chunks", {})
+    if path not in kept:
+        kept[path] = Chunks(path)
+    return kept[path]
+
+
 def cut(n: int, most: int = SEQUENCE) -> list[int]:
     """Lengths of the pieces of n tokens: powers of two, large to small, none over most (a power of two)."""
     return [most] * (n // most) + [1 << b for b in range(most.bit_length() - 1, -1, -1) if (n % most) >> b & 1]
@@ -91,7 +100,7 @@ _SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids array<int>
 
 def _packer(path: str, digest: bool):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = Chunks(path)
+        chunks = kept_chunks(path)
         for whole in batches:
             for at in range(0, whole.num_rows, GROUP):
                 batch = whole.slice(at, GROUP)
