@@ -19,9 +19,11 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import sys
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,9 @@ class Chunks:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.reset()
 
     def reset(self):
@@ -48,31 +53,54 @@ class Chunks:
         self.length, self.start = np.zeros(MEMO * 2, np.int32), np.zeros(MEMO * 2, np.int64)
         self.ids, self.used = np.zeros(1 << 20, np.int32), 0
 
+    def _add(self, chunks: list[str], lengths: np.ndarray, ids: np.ndarray):
+        k, n = len(self.index), len(chunks)
+        while k + n > len(self.length):
+            self.length, self.start = (np.concatenate([x, np.zeros_like(x)]) for x in (self.length, self.start))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.length[k : k + n] = lengths
+        self.start[k : k + n] = self.used + np.cumsum(lengths) - lengths
+        self.used += len(ids)
+        self.index.update(zip(chunks, range(k, k + n), strict=True))
+
     def learn(self, new: list[str]):
-        for i in range(0, len(new), 4096):
-            for chunk, found in zip(part := new[i : i + 4096], self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                k = len(self.index)
-                if k >= len(self.length):
-                    self.length, self.start = (np.concatenate([x, np.zeros_like(x)]) for x in (self.length, self.start))
-                ids = found.ids
-                if self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.int32)])
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.length[k], self.start[k] = len(ids), self.used
-                self.used += len(ids)
-                self.index[chunk] = k
+        # a chunk of letters is one word, whose last token alone has the end mark; so many go in one call
+        words = [c for c in new if c.isalpha()]
+        encode = lambda texts: self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        for i in range(0, len(words), 2000):
+            part = words[i : i + 2000]
+            ids = np.array(encode([" ".join(part)])[0].ids, np.int32)
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(part) and (not len(ids) or last[-1] == len(ids)):
+                self._add(part, np.diff(last, prepend=0), ids)
+            else:
+                self._each(part, encode)
+        self._each([c for c in new if not c.isalpha()], encode)
+
+    def _each(self, chunks: list[str], encode):
+        for i in range(0, len(chunks), 4096):
+            part = chunks[i : i + 4096]
+            found = [e.ids for e in encode(part)]
+            self._add(part, np.array([len(x) for x in found], np.int64), np.array([y for x in found for y in x], np.int32))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text, with the end token."""
-        split = [t.replace("\n", " ").lower().split(" ") if t.isascii() else t.replace("\n", " ").split(" ") for t in texts]
         if len(self.index) > MEMO:
             self.reset()
-        known = self.index.keys()
-        new = set().union(*split) - known
-        self.learn(list(new))
+        get, split, places = self.index.get, [], []
+        for text in texts:
+            chunks = split_chunks(text)
+            split.append(chunks)
+            places.append(np.fromiter(map(get, chunks, repeat(-1)), np.int64, len(chunks)))
+        unknown = [np.flatnonzero(at < 0).tolist() for at in places]
+        if new := list(dict.fromkeys(chunks[i] for chunks, at in zip(split, unknown, strict=True) for i in at)):
+            self.learn(new)
         out = []
-        for chunks in split:
-            at = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
+        for chunks, at, missing in zip(split, places, unknown, strict=True):
+            if missing:
+                at[missing] = [self.index[chunks[i]] for i in missing]
             length = self.length[at].astype(np.int64)
             ends = np.cumsum(length)
             ids = np.empty(int(ends[-1]) + 1, np.int32)
@@ -82,6 +110,19 @@ class Chunks:
         return out
 
 
+#: A full stop or comma after a letter and before a space is a token of its own.
+_STOP = re.compile("(?<=[a-z\u00e0-\u00f6\u00f8-\u00ff])([.,]) ")
+
+
+def split_chunks(text: str) -> list[str]:
+    """Chunks whose tokens, in order, are those of the text. Lower-casing here only makes chunks repeat more often; it stays
+    away from the letters whose lower case hangs on their place and from special tokens."""
+    text = text.replace("\n", " ")
+    if not ("\u03a3" in text or "\u0130" in text or "<|" in text):
+        text = text.lower()
+    return _STOP.sub(r" \1 ", text).split(" ")
+
+
 def kept_chunks(path: str) -> Chunks:
     """The worker process's memo: it outlives the task, so later tasks of the worker start with it."""
     kept = sys.__dict__.setdefault("_driftlane_chunks", {})
