@@ -74,6 +74,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, int]]:
         if not name:
             continue
         if m.group(1):
+            inside, depth = bad > 0, articles
             if any(n == name for n, _ in open_):
                 while open_:
                     n, was = open_.pop()
@@ -81,18 +82,18 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, int]]:
                     articles -= n == "article"
                     if n == name:
                         break
-            yield "close", name, bad > 0, articles
+            yield "close", name, inside, min(depth, articles)
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
             yield "open", name, True, articles
             continue
-        yield "open", name, bad > 0, articles
+        marked = _marked(m.group(3) or "")
+        # within the article a title block stays main text
+        was = marked or name in BOILERPLATE and not (name == "header" and articles)
+        yield "open", name, bad > 0 or was, articles
         if name not in VOID and not (m.group(3) or "").endswith("/"):
-            was = name in BOILERPLATE or _marked(m.group(3) or "")
-            # within the article a title block stays main text
-            was = was and not (name == "header" and articles and not _marked(m.group(3) or ""))
             open_.append((name, int(was)))
             bad += was
             articles += name == "article"
@@ -113,15 +114,16 @@ def extract(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
     items, scores = [], []
-    for kind, value, bad, _ in tokens(page):
+    for kind, value, bad, depth in tokens(page):
+        within = bad and depth > 0  # an insert in the article: no text, but no reason to end it either
         if kind == "text":
             value = html_lib.unescape(value)
             n = len(value.split())
             items.append(("", None) if bad else ("text", value))
-            scores.append(n * (OUTSIDE_WORD if bad else WORD))
+            scores.append(0.0 if within else n * (OUTSIDE_WORD if bad else WORD))
         else:
             items.append(("break", None) if value in BLOCKS else ("gap", None) if value == "br" else ("", None))
-            scores.append(weights.tag(value))
+            scores.append(0.0 if within else weights.tag(value))
     best, span, total, start = 0.0, (0, 0), 0.0, 0
     for i, score in enumerate(scores):
         if total <= 0:
