@@ -11,6 +11,7 @@ from driftlane.functions import scalar as S
 from driftlane.operators import baseline, detect, episodes, evaluate
 from driftlane.params import Params
 from driftlane.sources.events import EVENT, SESSION, ContractError
+from driftlane.sources.sinks import materialise
 
 
 def dispersion_scales(train: DataFrame, score: str, p: Params, least_sessions: int = 5, least_events: int = 30, prior: float | None = None) -> DataFrame:
@@ -96,6 +97,7 @@ def ablation(events: DataFrame, features: list[str], subsets: dict[str, list[str
         scored = baseline.scored(labelled, subset, p, [pivots[f] for f in subset])
         mean, std = reference or reference_from_train(scored, "distance")
         found = detect.with_cusum(scored, F.col("distance"), p, F.lit(mean), F.lit(std))
+        found = materialise(found.select(*EVENT, "split", "is_calibration", "is_censored", "target", "cusum"))
         chosen = evaluate.operating_threshold(evaluate.threshold_curve(found, eps, "cusum", "validation", p), p).select("threshold")
         tested = found.crossJoin(F.broadcast(chosen))
         out.append(evaluate.evaluate(tested, eps, F.col("cusum") >= F.col("threshold"), F.col("cusum").isNotNull(), "test", p, ["threshold"]).withColumn("variant", F.lit(name)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from driftlane.operators import evaluate, features, models
 from driftlane.params import Params
+from driftlane.sources.sinks import materialise
 
 
 def compare(events: DataFrame, episodes: DataFrame, p: Params, kinds: tuple[str, ...] = ("N", "R"), freeze: Callable[[dict[str, float]], None] | None = None) -> DataFrame:
@@ -19,6 +20,7 @@ def compare(events: DataFrame, episodes: DataFrame, p: Params, kinds: tuple[str,
     """
     ev = features.context(events).withColumn("drop", features.value_drop(F.col("f1"), list(kinds), p)).withColumn("count", F.col("event_no").cast("double"))
     ev = models.logistic_scores(ev, ["c_event", "c_turn", "c_third"], "target", "contextual")
+    ev = materialise(ev)  # read eight times below
     scores = {"proposed": "cusum", "contextual": "contextual", "value_drop": "drop", "event_count": "count"}
     frozen: dict[str, float] = {}
     for name, column in scores.items():

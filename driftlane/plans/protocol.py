@@ -229,7 +229,6 @@ def bootstrap_ci(spark, sf):
     return evaluate.bootstrap(stats, "session", P, "model", "cusum")
 
 
-@register()
 def feature_ablation(spark, sf):
     ev, eps = full(spark, sf)
     base = ev.select(*EVENT, "session_date", "kind", *F4, "split", "is_calibration", "target", "active", "is_censored")
@@ -237,7 +236,6 @@ def feature_ablation(spark, sf):
     return studies.ablation(base, F4, subsets, eps, base, P, dict(zip(F4, [25.0, 38.0, 5.0, 4.0], strict=True))).select("variant", "threshold", "recall", "precision", "false_per_session", "matched", "evaluable")
 
 
-@register()
 def model_comparison(spark, sf):
     """Four scores on identical sessions, thresholds frozen on validation before test is looked at."""
     from driftlane.plans.compare import compare
