@@ -31,6 +31,8 @@ from driftlane.llm.fuse_filter import BinaryFuse8
 WHITE = " \t\n\x0b\x0c\r"
 #: Distinct digests a bucket (and so a filter) should hold.
 BUCKET_KEYS = 200_000
+#: Rows (an id and a digest each, some 100 bytes) of positives that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -78,11 +80,16 @@ def screen(batch: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
 
 
 def _other_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (sha, old, new), those whose normalised texts differ after all."""
-    need = pairs.select("sha", F.explode(F.array(F.struct(F.col("old").alias("rid"), F.lit(0).alias("side")), F.struct(F.col("new").alias("rid"), F.lit(1).alias("side")))).alias("x")).select("sha", "x.*")
-    texts = docs.join(need, "rid").select("sha", "side", normalised(F.col("text")).alias("text")).filter(F.sha2("text", 256) == F.col("sha"))
-    old, new = (texts.filter(F.col("side") == k).select("sha", F.col("text").alias(f"text_{k}")) for k in (0, 1))
-    return old.join(new, "sha").groupBy("sha").agg(F.max(F.col("text_0") == F.col("text_1")).alias("same")).filter("not same").select("sha")
+    """Of pairs (sha, old, new), those whose normalised texts differ after all.
+
+    The pairs go to the documents where they are few enough (BROADCAST_ROWS);
+    beyond that both meet in one shuffle.
+    """
+    need = materialise(pairs.select("sha", F.explode(F.array("old", "new")).alias("rid")))
+    if need.count() <= BROADCAST_ROWS:
+        need = F.broadcast(need)
+    texts = docs.join(need, "rid").select("sha", normalised(F.col("text")).alias("text")).filter(F.sha2("text", 256) == F.col("sha"))
+    return texts.groupBy("sha").agg((F.min("text") != F.max("text")).alias("differ")).filter("differ").select("sha")
 
 
 def dedup(documents: DataFrame, in_snapshot: Column | None = None) -> DataFrame:
