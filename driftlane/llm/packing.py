@@ -19,11 +19,11 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import sys
 import zlib
 from collections.abc import Iterator
 from itertools import repeat
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 SEQUENCE = 2048
 END = 1
 #: Chunks that one worker remembers, and texts whose unknown chunks are tokenized together.
-MEMO, GROUP = 600_000, 64
+MEMO, GROUP = 1_200_000, 64
 
 
 class Chunks:
@@ -51,12 +51,13 @@ class Chunks:
     def reset(self):
         self.index: dict[str, int] = {}
         self.length, self.start = np.zeros(MEMO * 2, np.int32), np.zeros(MEMO * 2, np.int64)
+        self.open = np.zeros(MEMO * 2, bool)  # whether a stop set right behind the chunk could be part of its last token
         self.ids, self.used = np.zeros(1 << 20, np.int32), 0
 
     def _add(self, chunks: list[str], lengths: np.ndarray, ids: np.ndarray):
         k, n = len(self.index), len(chunks)
         while k + n > len(self.length):
-            self.length, self.start = (np.concatenate([x, np.zeros_like(x)]) for x in (self.length, self.start))
+            self.length, self.start, self.open = (np.concatenate([x, np.zeros_like(x)]) for x in (self.length, self.start, self.open))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(ids)] = ids
@@ -67,7 +68,9 @@ class Chunks:
 
     def learn(self, new: list[str]):
         # a chunk of letters is one word, whose last token alone has the end mark; so many go in one call
-        words = [c for c in new if c.isalpha()]
+        words, others = [], []
+        for c in new:
+            (words if c.isalpha() else others).append(c)
         encode = lambda texts: self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         for i in range(0, len(words), 2000):
             part = words[i : i + 2000]
@@ -77,30 +80,45 @@ class Chunks:
                 self._add(part, np.diff(last, prepend=0), ids)
             else:
                 self._each(part, encode)
-        self._each([c for c in new if not c.isalpha()], encode)
+        self._each(others, encode)
 
     def _each(self, chunks: list[str], encode):
         for i in range(0, len(chunks), 4096):
             part = chunks[i : i + 4096]
             found = [e.ids for e in encode(part)]
+            k = len(self.index)
             self._add(part, np.array([len(x) for x in found], np.int64), np.array([y for x in found for y in x], np.int32))
+            self.open[k : k + len(part)] = [c != "" and not is_letter_or_number(normalize("NFC", c).lower()[-1]) for c in part]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Token ids of each text, with the end token."""
-        if len(self.index) > MEMO:
-            self.reset()
-        get, split, places = self.index.get, [], []
-        for text in texts:
-            chunks = split_chunks(text)
-            split.append(chunks)
-            places.append(np.fromiter(map(get, chunks, repeat(-1)), np.int64, len(chunks)))
+    def _places(self, split: list[list[str]]) -> list[np.ndarray]:
+        """Numbers of the chunks of each text; unknown chunks are learnt."""
+        get = self.index.get
+        places = [np.fromiter(map(get, chunks, repeat(-1)), np.int64, len(chunks)) for chunks in split]
         unknown = [np.flatnonzero(at < 0).tolist() for at in places]
         if new := list(dict.fromkeys(chunks[i] for chunks, at in zip(split, unknown, strict=True) for i in at)):
             self.learn(new)
-        out = []
         for chunks, at, missing in zip(split, places, unknown, strict=True):
             if missing:
                 at[missing] = [self.index[chunks[i]] for i in missing]
+        return places
+
+    def _joined(self, at: np.ndarray) -> bool:
+        """Whether a stop was split off that could belong to the token before it."""
+        for stop in map(self.index.get, ".,"):
+            if stop is not None and (self.open[at[:-1]] & (at[1:] == stop)).any():
+                return True
+        return False
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids of each text, with the end token."""
+        if len(self.index) > MEMO:
+            self.reset()
+        places = self._places([split_chunks(text) for text in texts])
+        doubtful = [i for i, at in enumerate(places) if self._joined(at)]
+        for i, at in zip(doubtful, self._places([split_chunks(texts[i], False) for i in doubtful]), strict=True):
+            places[i] = at
+        out = []
+        for at in places:
             length = self.length[at].astype(np.int64)
             ends = np.cumsum(length)
             ids = np.empty(int(ends[-1]) + 1, np.int32)
@@ -110,17 +128,20 @@ class Chunks:
         return out
 
 
-#: A full stop or comma after a letter and before a space is a token of its own.
-_STOP = re.compile("(?<=[a-z\u00e0-\u00f6\u00f8-\u00ff])([.,]) ")
+def is_letter_or_number(c: str) -> bool:
+    return c.isalpha() or c.isnumeric()
 
 
-def split_chunks(text: str) -> list[str]:
-    """Chunks whose tokens, in order, are those of the text. Lower-casing here only makes chunks repeat more often; it stays
-    away from the letters whose lower case hangs on their place and from special tokens."""
+def split_chunks(text: str, stops: bool = True) -> list[str]:
+    """Chunks whose tokens, in order, are those of the text. With stops, a full stop or comma before a space is a chunk of
+    its own, which is right unless a symbol stands before it. Lower-casing here only makes chunks repeat more often; it
+    stays away from the letters whose lower case hangs on their place and from special tokens."""
     text = text.replace("\n", " ")
     if not ("\u03a3" in text or "\u0130" in text or "<|" in text):
         text = text.lower()
-    return _STOP.sub(r" \1 ", text).split(" ")
+    if stops:
+        text = text.replace(". ", " . ").replace(", ", " , ")
+    return text.split(" ")
 
 
 def kept_chunks(path: str) -> Chunks:
