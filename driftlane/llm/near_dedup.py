@@ -41,6 +41,8 @@ from driftlane.llm.common import Cache, materialise, real_id, space_words, split
 WIDTH, TREES, MIN_DEPTH, DEPTH, REGION = 5, 16, 5, 8, 32
 _LEVELS = DEPTH - MIN_DEPTH + 1
 _BLOCK = 4096
+#: Ids (about 50 bytes each) of candidates that are broadcast at most.
+BROADCAST_ROWS = 2_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -135,9 +137,15 @@ def _confirmer(percent: int):
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets are similar enough; docs has rid and text."""
+    """Those pairs (a, b) whose full sets are similar enough; docs has rid and text.
+
+    The ids go to the documents where they are few enough (BROADCAST_ROWS);
+    beyond that ids and texts meet in a shuffle.
+    """
     pairs = materialise(pairs)
-    need = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+    need = materialise(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct())
+    if need.count() <= BROADCAST_ROWS:
+        need = F.broadcast(need)
     texts = materialise(docs.join(need, "rid").dropDuplicates(["rid"]))
     both = (
         pairs.join(texts.select(F.col("rid").alias("b"), F.col("text").cast("binary").alias("tb")), "b")
