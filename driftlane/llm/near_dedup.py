@@ -4,16 +4,19 @@ Every document becomes the set of its five-word shingles. Documents with one
 and the same set form a class; only one document of a class goes on. A class
 has TREES signature orders of DEPTH minima each. In each order, classes with a
 common prefix of at least MIN_DEPTH minima form a region, and members of a
-region are candidates for each other. Work then goes in two rounds:
+region are candidates for each other. Work then goes in three rounds:
 
-1. each class is held against the smallest class of its regions (a star, so
-   linear in a region's size); confirmed links give first components;
+1. each class is held against the smallest class of each of its regions (a
+   star, so linear in a region's size); confirmed links give first components;
 2. a region with more than REGION classes is split by the next minimum of its
    order, again and again where it stays dense, so each region ends at the
    depth its density asks for; within the final regions, all pairs from
    different components are confirmed. Classes that agree on all minima of an
-   order and are still too many are dealt into blocks; round 1 has compared
-   all of them with the region's smallest class.
+   order and are still too many are dealt into blocks, other ones each order;
+3. regions of more than REGION classes that still hold several components are
+   gone through exactly: a prefix-filter join on shingles gives all pairs from
+   different components that can be similar enough, so no pair is parted by
+   the splits of round 2.
 
 Links are confirmed on the full sets: 100 * common >= 85 * union by default.
 Components come from alternating large-star and small-star steps on written
@@ -184,10 +187,44 @@ def _fitted_regions(trees: DataFrame) -> DataFrame:
         fit = fit.union(dense.filter(F.col(f"c{level}").between(2, REGION)).select("node", f"k{level}"))
         dense = dense.filter(F.col(f"c{level}") > REGION)
     deepest = f"k{_LEVELS - 1}"
-    block = F.pmod(F.xxhash64("node"), F.ceil(F.col(f"c{_LEVELS - 1}") / REGION))
+    block = F.pmod(F.xxhash64(deepest, "node"), F.ceil(F.col(f"c{_LEVELS - 1}") / REGION))
     return fit.union(dense.select("node", F.xxhash64(deepest, block)))
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = word_hashes()
+    for batch in batches:
+        sets = [shingles(text.as_py(), words).view(np.int64) for text in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "comp", "n", "s"])
+
+
+def _prefix_pairs(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of nodes (node, comp) from different components that can be similar enough.
+
+    With shingles in one order, rarest first, similar sets share one of their
+    first n - ceil(percent * n / 100) + 1, and at the first they share, the
+    smaller rest bounds what they have in common. The bound is put to cells of
+    equal size and position before any nodes are paired.
+    """
+    sets = materialise(docs.join(nodes.withColumnRenamed("node", "rid"), "rid").dropDuplicates(["rid"]).select("rid", "comp", F.col("text").cast("binary")).mapInArrow(_sets, "node long, comp long, n long, s array<long>"))
+    tokens = sets.select("node", "comp", "n", F.explode("s").alias("s"))
+    counts = tokens.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = tokens.join(counts, "s").groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("r"))
+    # shingles of one set only come first in the order, and no partner has them
+    first = F.expr(f"slice(r, 1, cast(greatest(size(r) - ({percent} * n + 99) div 100 + 1, 0) as int))")
+    prefix = ranked.select("node", "comp", "n", (F.col("n") - F.size("r")).alias("own"), F.posexplode(first).alias("i", "t"))
+    prefix = materialise(prefix.select("node", "comp", "n", (F.col("n") - F.col("own") - F.col("i")).alias("rest"), F.col("t.s").alias("s")))
+    cells = materialise(prefix.groupBy("s", "n", "rest").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")))
+    mixed = cells.groupBy("s").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).filter("l < h").select("s")
+    cells = cells.join(mixed, "s")
+    left, right = (cells.select("s", *[F.col(c).alias(f"{c}_{x}") for c in ("n", "rest", "lo", "hi")]) for x in "ab")
+    common = F.least("rest_a", "rest_b")
+    fits = (100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)) & (F.least("lo_a", "lo_b") < F.greatest("hi_a", "hi_b"))
+    cells = left.join(right, "s").filter(fits).select("s", "n_a", "rest_a", "n_b", "rest_b")
+    left, right = (prefix.select("s", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "rest", "comp")]) for x in "ab")
+    return left.join(cells, ["s", "n_a", "rest_a"]).join(right, ["s", "n_b", "rest_b"]).filter("a < b and comp_a <> comp_b").select("a", "b").distinct()
+
+
 def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, class_id (smallest doc_id with the same set)."""
     docs = with_rid(documents)
@@ -204,7 +241,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     regions = trees.groupBy("k0").agg(F.count("*").alias("c0"), F.min("node").alias("leader")).filter("c0 > 1")
     trees = materialise(trees.join(regions, "k0"))
 
-    stars = trees.groupBy("node").agg(F.min("leader").alias("a")).filter("a < node").select("a", F.col("node").alias("b"))
+    stars = trees.filter("leader < node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = confirmed(docs, stars, percent)
     comps = materialise(components(links))
 
@@ -214,7 +251,15 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     left, right = (fitted.select("region", F.col("node").alias(n), F.col("comp").alias(f"comp_{n}")) for n in "ab")
     pairs = left.join(right, "region").filter("a < b and comp_a <> comp_b").select("a", "b").distinct()
     pairs = pairs.join(stars, ["a", "b"], "left_anti")
-    comps = components(links.union(confirmed(docs, pairs, percent)))
+    links = links.union(confirmed(docs, pairs, percent))
+    comps = materialise(components(links))
+
+    dense = trees.filter(F.col("c0") > REGION).join(comps, "node", "left").select("node", "k0", F.coalesce("comp", "node").alias("comp"))
+    mixed = dense.groupBy("k0").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("k0")
+    dense = materialise(dense.join(mixed, "k0").select("node", "comp").distinct())
+    if not dense.isEmpty():
+        pairs = _prefix_pairs(docs, dense, percent).join(stars, ["a", "b"], "left_anti")
+        comps = components(links.union(confirmed(docs, pairs, percent)))
 
     found = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("cls", "rep", F.coalesce("comp", "rep").alias("comp"))
     out = filled.select("rid", "n_shingles", "cls").join(found, "cls").select("rid", "n_shingles", "comp", "rep")

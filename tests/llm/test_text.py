@@ -76,6 +76,22 @@ def test_dense_region_is_split_and_still_joined(spark, monkeypatch):
     assert sorted(r.component_id for r in near_dedup.near_duplicates(docs(spark, texts)).collect()) == sorted(comp)
 
 
+def test_pairs_parted_in_dense_regions_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "REGION", 2)
+    rng = random.Random(5)
+    base, texts = words(rng, 180), []
+    for i in range(60):
+        own = words(rng, 20)
+        for k in range(2):
+            c = list(own)
+            for at in (2, 8, 14) if k else ():
+                c[at] = f"edit{i}x{at}"
+            texts.append(" ".join([*base, *c]))
+    comp, _ = brute_components(texts)
+    assert len(set(comp)) > 50
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs(spark, texts)).collect()} == dict(enumerate(comp))
+
+
 def test_components_of_a_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(20, 21)], "a long, b long")
     assert {r.node: r.comp for r in near_dedup.components(e).collect()} == {**{i: 0 for i in range(13)}, 20: 20, 21: 20}
