@@ -26,8 +26,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one of each group of near duplicates."""
-    return near_dedup.keep_one(docs)
+    """Keeps one of each group of near duplicates, from 80 % similarity on."""
+    return near_dedup.keep_one(docs, percent=80)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

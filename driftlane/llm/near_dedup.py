@@ -2,9 +2,9 @@
 
 Every document becomes the set of its five-word shingles. Documents with one
 and the same set form a class; only one document of a class goes on. A class
-has TREES signature orders of DEPTH minima each. In each order, classes with a
-common prefix of at least MIN_DEPTH minima form a region, and members of a
-region are candidates for each other. Work then goes in three rounds:
+has some signature orders of DEPTH minima each. In each order, classes with a
+common prefix of at least some minima form a region, and members of a region
+are candidates for each other; `forest` chooses both numbers for a percentage. Work then goes in three rounds:
 
 1. each class is held against the smallest class of each of its regions (a
    star, so linear in a region's size); confirmed links give first components;
@@ -31,6 +31,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +42,9 @@ from pyspark.sql import functions as F
 
 from driftlane.llm.common import Cache, materialise, real_id, space_words, splitmix, with_rid
 
-WIDTH, TREES, MIN_DEPTH, DEPTH, REGION = 5, 16, 5, 8, 32
-_LEVELS = DEPTH - MIN_DEPTH + 1
+WIDTH, DEPTH, REGION = 5, 8, 32
+#: At the percentage itself, an order is to show a pair at least so often, and all orders to miss it at most so often.
+SHOWN, MISSED = 0.4, 1e-4
 _BLOCK = 4096
 #: Ids (about 50 bytes each) of candidates that are broadcast at most.
 BROADCAST_ROWS = 2_000_000
@@ -66,14 +68,21 @@ def word_hashes() -> Cache:
     return Cache(xxhash.xxh3_64_intdigest)
 
 
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
+def forest(percent: int) -> tuple[int, int]:
+    """Orders and least common depth for a percentage: 16 and 5 for 85, 18 and 4 for 80."""
+    t = min(percent / 100, 0.99)
+    depth = max([d for d in range(1, DEPTH) if t**d >= SHOWN], default=1)
+    return math.ceil(math.log(MISSED) / math.log(1 - t**depth)), depth
+
+
+def _permutations(trees: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240229)
-    n = TREES * DEPTH
+    n = trees * DEPTH
     return rng.integers(0, 2**32, n, dtype=np.uint32)[:, None], (rng.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 
 
 def signature(hashes: np.ndarray, perms) -> np.ndarray:
-    """Minima of the set under TREES * DEPTH orders."""
+    """Minima of the set under all orders."""
     xor, odd = perms
     low = (hashes >> np.uint64(32)).astype(np.uint32)
     out = np.full(len(xor), 0xFFFFFFFF, np.uint32)
@@ -82,39 +91,42 @@ def signature(hashes: np.ndarray, perms) -> np.ndarray:
     return out
 
 
-def prefix_keys(minima: np.ndarray) -> np.ndarray:
-    """For each order, one key for the prefix of each depth from MIN_DEPTH to DEPTH: shape (TREES, levels)."""
-    m = minima.reshape(TREES, DEPTH).astype(np.uint64)
-    key = splitmix(np.arange(1, TREES + 1, dtype=np.uint64))
-    out = np.empty((TREES, _LEVELS), np.uint64)
+def prefix_keys(minima: np.ndarray, least: int) -> np.ndarray:
+    """For each order, one key for the prefix of each depth from the least to DEPTH: shape (orders, levels)."""
+    m = minima.reshape(-1, DEPTH).astype(np.uint64)
+    key = splitmix(np.arange(1, len(m) + 1, dtype=np.uint64))
+    out = np.empty((len(m), DEPTH - least + 1), np.uint64)
     for depth in range(DEPTH):
         key = splitmix(key * _MULTIPLIER + m[:, depth])
-        if depth >= MIN_DEPTH - 1:
-            out[:, depth - MIN_DEPTH + 1] = key
+        if depth >= least - 1:
+            out[:, depth - least + 1] = key
     return out
 
 
 _SIGNED = "rid long, n_shingles long, cls binary, keys array<long>"
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, perms = word_hashes(), _permutations()
-    for batch in batches:
-        n, cls, keys = [], [], []
-        for text in batch.column(1):
-            s = shingles(text.as_py(), words)
-            n.append(len(s))
-            if len(s):
-                cls.append(xxhash.xxh3_128_digest(s.tobytes()))
-                keys.append(prefix_keys(signature(s, perms)).view(np.int64).ravel())
-            else:
-                cls.append(None)
-        offsets = np.concatenate([[0], np.cumsum([0 if c is None else TREES * _LEVELS for c in cls])]).astype(np.int32)
-        flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-            names=["rid", "n_shingles", "cls", "keys"],
-        )
+def _signer(trees: int, least: int):
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, perms = word_hashes(), _permutations(trees)
+        for batch in batches:
+            n, cls, keys = [], [], []
+            for text in batch.column(1):
+                s = shingles(text.as_py(), words)
+                n.append(len(s))
+                if len(s):
+                    cls.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    keys.append(prefix_keys(signature(s, perms), least).view(np.int64).ravel())
+                else:
+                    cls.append(None)
+            offsets = np.concatenate([[0], np.cumsum([0 if c is None else trees * (DEPTH - least + 1) for c in cls])]).astype(np.int32)
+            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                names=["rid", "n_shingles", "cls", "keys"],
+            )
+
+    return sign
 
 
 def _confirmer(percent: int):
@@ -181,13 +193,14 @@ def _fitted_regions(trees: DataFrame) -> DataFrame:
     """Adds `region`: the key of the shallowest prefix that at most REGION classes share."""
     fit = trees.filter(F.col("c0") <= REGION).select("node", F.col("k0").alias("region"))
     dense = trees.filter(F.col("c0") > REGION)
-    for level in range(1, _LEVELS):
+    levels = sum(c.startswith("k") for c in trees.columns)
+    for level in range(1, levels):
         sizes = dense.groupBy(f"k{level}").agg(F.count("*").alias(f"c{level}"))
         dense = dense.join(sizes, f"k{level}")
         fit = fit.union(dense.filter(F.col(f"c{level}").between(2, REGION)).select("node", f"k{level}"))
         dense = dense.filter(F.col(f"c{level}") > REGION)
-    deepest = f"k{_LEVELS - 1}"
-    block = F.pmod(F.xxhash64(deepest, "node"), F.ceil(F.col(f"c{_LEVELS - 1}") / REGION))
+    deepest = f"k{levels - 1}"
+    block = F.pmod(F.xxhash64(deepest, "node"), F.ceil(F.col(f"c{levels - 1}") / REGION))
     return fit.union(dense.select("node", F.xxhash64(deepest, block)))
 
 
@@ -228,15 +241,16 @@ def _prefix_pairs(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, class_id (smallest doc_id with the same set)."""
     docs = with_rid(documents)
-    signed = materialise(docs.select("rid", F.col("text").cast("binary").alias("text")).mapInArrow(_sign, _SIGNED))
+    orders, least = forest(percent)
+    signed = materialise(docs.select("rid", F.col("text").cast("binary").alias("text")).mapInArrow(_signer(orders, least), _SIGNED))
     filled = signed.filter("n_shingles > 0")
     classes = materialise(filled.groupBy("cls").agg(F.min("rid").alias("rep")))
 
-    levels = [f"k{i}" for i in range(_LEVELS)]
+    levels = [f"k{i}" for i in range(DEPTH - least + 1)]
     reps = classes.select("cls", F.col("rep").alias("rid"))
     trees = filled.join(reps, ["cls", "rid"]).select(
         F.col("rid").alias("node"),
-        F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(*[F.get(F.col("keys"), t * _LEVELS + i).alias(k) for i, k in enumerate(levels)]))).alias("k"),
+        F.explode(F.transform(F.sequence(F.lit(0), F.lit(orders - 1)), lambda t: F.struct(*[F.get(F.col("keys"), t * len(levels) + i).alias(k) for i, k in enumerate(levels)]))).alias("k"),
     ).select("node", "k.*")
     regions = trees.groupBy("k0").agg(F.count("*").alias("c0"), F.min("node").alias("leader")).filter("c0 > 1")
     trees = materialise(trees.join(regions, "k0"))

@@ -92,6 +92,17 @@ def test_pairs_parted_in_dense_regions_are_joined(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs(spark, texts)).collect()} == dict(enumerate(comp))
 
 
+def test_pipeline_drops_near_copies_of_80_percent(spark):
+    import corpus_pipeline
+
+    assert near_dedup.forest(85) == (16, 5) and near_dedup.forest(80) == (18, 4)
+    base = words(random.Random(6), 104)
+    copy = [f"edit{i}" if i in (10, 30) else w for i, w in enumerate(base)]  # 90 of 110 shingles
+    d = docs(spark, [" ".join(base), " ".join(copy)])
+    assert near_dedup.keep_one(d).count() == 2
+    assert [r.doc_id for r in corpus_pipeline.near(spark, d, "").collect()] == [0]
+
+
 def test_components_of_a_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(20, 21)], "a long, b long")
     assert {r.node: r.comp for r in near_dedup.components(e).collect()} == {**{i: 0 for i in range(13)}, 20: 20, 21: 20}
