@@ -4,7 +4,8 @@ Every document becomes the set of its five-word shingles. Documents with one
 and the same set form a class; only one document of a class goes on. A class
 has some signature orders of DEPTH minima each. In each order, classes with a
 common prefix of at least some minima form a region, and members of a region
-are candidates for each other; `forest` chooses both numbers for a percentage. Work then goes in three rounds:
+are candidates for each other; `forest` chooses both numbers for a percentage.
+Work then goes in three rounds:
 
 1. each class is held against the smallest class of each of its regions (a
    star, so linear in a region's size); confirmed links give first components;
@@ -23,10 +24,10 @@ Components come from alternating large-star and small-star steps on written
 edges, so no group is ever gathered in a task or on the driver.
 
 Defined cases: a null or empty text, or one without words, has an empty set and
-links with nothing; rows with one doc_id are one document; rows with a null
-doc_id are treated as one document with the largest id, and get null as
-component_id if no other document is in the component; an empty table gives an
-empty result; other columns are ignored.
+links with nothing; rows with one doc_id and one text are one document, rows
+with one doc_id and other texts are documents of their own; a null doc_id ranks
+after all ids, and is the component_id if no other document is in the
+component; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlane.llm.common import Cache, materialise, real_id, space_words, splitmix, with_rid
+from driftlane.llm.common import NO_ID, Cache, materialise, real_id, space_words, splitmix, with_rid
 
 WIDTH, DEPTH, REGION = 5, 8, 32
 #: At the percentage itself, an order is to show a pair at least so often, and all orders to miss it at most so often.
@@ -103,7 +104,7 @@ def prefix_keys(minima: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
-_SIGNED = "rid long, n_shingles long, cls binary, keys array<long>"
+_SIGNED = "rid long, dig binary, n_shingles long, cls binary, keys array<long>"
 
 
 def _signer(trees: int, least: int):
@@ -111,7 +112,7 @@ def _signer(trees: int, least: int):
         words, perms = word_hashes(), _permutations(trees)
         for batch in batches:
             n, cls, keys = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 s = shingles(text.as_py(), words)
                 n.append(len(s))
                 if len(s):
@@ -122,8 +123,8 @@ def _signer(trees: int, least: int):
             offsets = np.concatenate([[0], np.cumsum([0 if c is None else trees * (DEPTH - least + 1) for c in cls])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["rid", "n_shingles", "cls", "keys"],
+                [*batch.columns[:2], pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                names=["rid", "dig", "n_shingles", "cls", "keys"],
             )
 
     return sign
@@ -151,20 +152,22 @@ def _confirmer(percent: int):
     return confirm
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets are similar enough; docs has rid and text.
+def confirmed(docs: DataFrame, names: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) of nodes whose full sets are similar enough.
+
+    docs has rid, dig and text; names has the rid and dig of each node.
 
     The ids go to the documents where they are few enough (BROADCAST_ROWS);
     beyond that ids and texts meet in a shuffle.
     """
     pairs = materialise(pairs)
-    need = materialise(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct())
+    need = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(names, "node"))
     if need.count() <= BROADCAST_ROWS:
         need = F.broadcast(need)
-    texts = materialise(docs.join(need, "rid").dropDuplicates(["rid"]))
+    texts = materialise(docs.join(need, ["rid", "dig"]).dropDuplicates(["node"]).select("node", "text"))
     both = (
-        pairs.join(texts.select(F.col("rid").alias("b"), F.col("text").cast("binary").alias("tb")), "b")
-        .join(texts.select(F.col("rid").alias("a"), F.col("text").cast("binary").alias("ta")), "a")
+        pairs.join(texts.select(F.col("node").alias("b"), F.col("text").cast("binary").alias("tb")), "b")
+        .join(texts.select(F.col("node").alias("a"), F.col("text").cast("binary").alias("ta")), "a")
         .select("a", "b", "ta", "tb")
     )
     return materialise(both.mapInArrow(_confirmer(percent), "a long, b long"))
@@ -211,7 +214,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "comp", "n", "s"])
 
 
-def _prefix_pairs(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _prefix_pairs(docs: DataFrame, names: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """All pairs (a, b) of nodes (node, comp) from different components that can be similar enough.
 
     With shingles in one order, rarest first, similar sets share one of their
@@ -219,7 +222,7 @@ def _prefix_pairs(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     smaller rest bounds what they have in common. The bound is put to cells of
     equal size and position before any nodes are paired.
     """
-    sets = materialise(docs.join(nodes.withColumnRenamed("node", "rid"), "rid").dropDuplicates(["rid"]).select("rid", "comp", F.col("text").cast("binary")).mapInArrow(_sets, "node long, comp long, n long, s array<long>"))
+    sets = materialise(docs.join(nodes.join(names, "node"), ["rid", "dig"]).dropDuplicates(["node"]).select("node", "comp", F.col("text").cast("binary")).mapInArrow(_sets, "node long, comp long, n long, s array<long>"))
     tokens = sets.select("node", "comp", "n", F.explode("s").alias("s"))
     counts = tokens.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
     ranked = tokens.join(counts, "s").groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("r"))
@@ -238,25 +241,31 @@ def _prefix_pairs(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return left.join(cells, ["s", "n_a", "rest_a"]).join(right, ["s", "n_b", "rest_b"]).filter("a < b and comp_a <> comp_b").select("a", "b").distinct()
 
 
-def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, class_id (smallest doc_id with the same set)."""
-    docs = with_rid(documents)
+def _digest(text):
+    return F.unhex(F.md5(F.coalesce(text.cast("binary"), F.lit(b""))))
+
+
+def _grouped(documents: DataFrame, percent: int) -> DataFrame:
+    """One row per document: rid, dig, n_shingles, and first and rep, the smallest (rid, dig) of its component and of its class."""
+    docs = with_rid(documents).withColumn("dig", _digest(F.col("text")))
     orders, least = forest(percent)
-    signed = materialise(docs.select("rid", F.col("text").cast("binary").alias("text")).mapInArrow(_signer(orders, least), _SIGNED))
+    signed = materialise(docs.select("rid", "dig", F.col("text").cast("binary").alias("text")).mapInArrow(_signer(orders, least), _SIGNED))
     filled = signed.filter("n_shingles > 0")
-    classes = materialise(filled.groupBy("cls").agg(F.min("rid").alias("rep")))
+    classes = filled.groupBy("cls").agg(F.min(F.struct("rid", "dig")).alias("rep"))
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()))
+    names = classes.select("node", "rep.rid", "rep.dig")
 
     levels = [f"k{i}" for i in range(DEPTH - least + 1)]
-    reps = classes.select("cls", F.col("rep").alias("rid"))
-    trees = filled.join(reps, ["cls", "rid"]).select(
-        F.col("rid").alias("node"),
+    reps = classes.select("cls", "rep.rid", "rep.dig", "node")
+    trees = filled.join(reps, ["cls", "rid", "dig"]).dropDuplicates(["node"]).select(
+        "node",
         F.explode(F.transform(F.sequence(F.lit(0), F.lit(orders - 1)), lambda t: F.struct(*[F.get(F.col("keys"), t * len(levels) + i).alias(k) for i, k in enumerate(levels)]))).alias("k"),
     ).select("node", "k.*")
     regions = trees.groupBy("k0").agg(F.count("*").alias("c0"), F.min("node").alias("leader")).filter("c0 > 1")
     trees = materialise(trees.join(regions, "k0"))
 
     stars = trees.filter("leader < node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = confirmed(docs, stars, percent)
+    links = confirmed(docs, names, stars, percent)
     comps = materialise(components(links))
 
     fitted = _fitted_regions(trees).join(comps, "node", "left").select("node", "region", F.coalesce("comp", "node").alias("comp"))
@@ -265,32 +274,37 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     left, right = (fitted.select("region", F.col("node").alias(n), F.col("comp").alias(f"comp_{n}")) for n in "ab")
     pairs = left.join(right, "region").filter("a < b and comp_a <> comp_b").select("a", "b").distinct()
     pairs = pairs.join(stars, ["a", "b"], "left_anti")
-    links = links.union(confirmed(docs, pairs, percent))
+    links = links.union(confirmed(docs, names, pairs, percent))
     comps = materialise(components(links))
 
     dense = trees.filter(F.col("c0") > REGION).join(comps, "node", "left").select("node", "k0", F.coalesce("comp", "node").alias("comp"))
     mixed = dense.groupBy("k0").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("k0")
     dense = materialise(dense.join(mixed, "k0").select("node", "comp").distinct())
     if not dense.isEmpty():
-        pairs = _prefix_pairs(docs, dense, percent).join(stars, ["a", "b"], "left_anti")
-        comps = components(links.union(confirmed(docs, pairs, percent)))
+        pairs = _prefix_pairs(docs, names, dense, percent).join(stars, ["a", "b"], "left_anti")
+        comps = components(links.union(confirmed(docs, names, pairs, percent)))
 
-    found = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("cls", "rep", F.coalesce("comp", "rep").alias("comp"))
-    out = filled.select("rid", "n_shingles", "cls").join(found, "cls").select("rid", "n_shingles", "comp", "rep")
-    out = out.union(signed.filter("n_shingles = 0").select("rid", "n_shingles", "rid", "rid"))
-    return out.select(
+    found = classes.join(comps, "node", "left").select("cls", "rep", F.coalesce("comp", "node").alias("comp"))
+    found = found.join(found.groupBy("comp").agg(F.min("rep").alias("first")), "comp")
+    out = filled.select("rid", "dig", "n_shingles", "cls").join(found, "cls").select("rid", "dig", "n_shingles", "first", "rep")
+    own = F.struct("rid", "dig")
+    return out.union(signed.filter("n_shingles = 0").select("rid", "dig", "n_shingles", own, own))
+
+
+def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept, class_id (smallest doc_id with the same set)."""
+    return _grouped(documents, percent).select(
         real_id(F.col("rid")).alias("doc_id"),
         "n_shingles",
-        real_id(F.col("comp")).alias("component_id"),
-        (F.col("rid") == F.col("comp")).alias("kept"),
-        real_id(F.col("rep")).alias("class_id"),
+        real_id(F.col("first.rid")).alias("component_id"),
+        (F.struct("rid", "dig") == F.col("first")).alias("kept"),
+        real_id(F.col("rep.rid")).alias("class_id"),
     )
 
 
 def keep_one(documents: DataFrame, percent: int = 85) -> DataFrame:
-    """The documents with one of each near-duplicate group, all columns kept; rows of one doc_id become one."""
-    kept = near_duplicates(documents, percent).filter("kept").select("doc_id").distinct()
-    # one exchange on doc_id serves the join and the removal of repeated rows
-    key = documents.withColumn("__rid", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)))
-    ids = kept.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("__rid"))
-    return key.join(ids, "__rid", "left_semi").dropDuplicates(["__rid"]).drop("__rid")
+    """The documents with one of each near-duplicate group, all columns kept; rows of one doc_id and text become one."""
+    kept = _grouped(documents, percent).filter(F.struct("rid", "dig") == F.col("first")).select(F.col("rid").alias("__rid"), F.col("dig").alias("__dig")).distinct()
+    # one exchange on the key serves the join and the removal of repeated rows
+    key = documents.withColumn("__rid", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__dig", _digest(F.col("text")))
+    return key.join(kept, ["__rid", "__dig"], "left_semi").dropDuplicates(["__rid", "__dig"]).drop("__rid", "__dig")

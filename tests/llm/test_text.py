@@ -103,6 +103,14 @@ def test_pipeline_drops_near_copies_of_80_percent(spark):
     assert [r.doc_id for r in corpus_pipeline.near(spark, d, "").collect()] == [0]
 
 
+def test_rows_with_one_id_are_dropped_only_for_a_confirmed_link(spark):
+    rng = random.Random(8)
+    texts = [" ".join(words(rng, 40)) for _ in range(4)]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[1] + " end"), (None, " "), (None, "")]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    assert {(r.doc_id, r.text) for r in near_dedup.keep_one(d).collect()} == set(rows) - {rows[1]}
+
+
 def test_components_of_a_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(20, 21)], "a long, b long")
     assert {r.node: r.comp for r in near_dedup.components(e).collect()} == {**{i: 0 for i in range(13)}, 20: 20, 21: 20}
