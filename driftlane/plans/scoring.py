@@ -178,13 +178,39 @@ def mahalanobis_full(spark, sf):
     return scored(spark, sf, F4, PIVOT4).select(*EVENT, "availability", *r6(distance=F.col("distance"), distance_raw=F.col("distance_raw")), "dominant")
 
 
+DIMENSIONS = 64
+
+
+def _cross_sums():
+    def sums(batches):
+        """Per batch and label: rows, and sums of the products of their gaps, flattened."""
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            label, gap = np.array(batch.column(0).to_pylist(), np.int64), batch.column(1).to_pylist()
+            found = [(k, np.array([gap[i] for i in np.flatnonzero(label == k)], float)) for k in np.unique(label)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(k) for k, _ in found], pa.int64()), pa.array([len(g) for _, g in found], pa.int64()), pa.array([(g.T @ g).ravel() for _, g in found], pa.list_(pa.float64()))], names=["label", "n", "sums"])
+
+    return sums
+
+
 @register()
 def embedding_distance(spark, sf):
-    """Distance of each vector to the mean of its label, all 64 features, inverted in batches."""
+    """Mahalanobis distance of each vector to the mean of its label: covariance of all 64 features, inverted in batches."""
     e = table(spark, sf, "embeddings")
     means = e.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("m")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
-    gap = F.zip_with("embedding", "mean", lambda a, b: a - b)
-    return e.join(F.broadcast(means), "label").select("vec_id", "label", F.round(F.sqrt(F.aggregate(gap, F.lit(0.0).cast("double"), lambda acc, x: acc + x * x)), 6).alias("distance"))
+    gaps = e.join(F.broadcast(means), "label").select("vec_id", "label", F.zip_with("embedding", "mean", lambda a, b: a - b).alias("gap"))
+    whole = gaps.filter(F.size("gap") == DIMENSIONS).filter(~F.exists("gap", lambda x: x.isNull()))
+    sums = whole.select(F.col("label").cast("long").alias("label"), "gap").mapInArrow(_cross_sums(), "label long, n long, sums array<double>")
+    cells = sums.select("label", "n", F.posexplode("sums").alias("i", "v")).groupBy("label", "i").agg((F.sum("v") / (F.when(F.sum("n") > 1, F.sum("n") - 1))).alias("v"))
+    flat = cells.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("cov"))
+    inverse = flat.select("label", baseline.precision(F.col("cov"), DIMENSIONS, P.ridge).alias("precision"))
+    zero = F.lit(0.0).cast("double")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), zero, lambda acc, x: acc + x)
+    row = lambda i: F.slice("precision", i * DIMENSIONS + 1, F.lit(DIMENSIONS))
+    square = dot("gap", F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: dot(row(i), F.col("gap"))))
+    return gaps.join(F.broadcast(inverse), "label", "left").select("vec_id", "label", F.round(F.sqrt(square), 6).alias("distance"))
 
 
 @register()

@@ -199,3 +199,17 @@ def test_signs(spark):
     df = spark.createDataFrame([("f1", 1.0, 21), ("f1", -1.0, 22), ("zz", 1.0, 23), ("f1", 0.0, 24), ("f1", None, 25)], "dominant string, delta_0 double, event_no long")
     got = [r.sign_status for r in studies.hypothesis_signs(df, ["f1"]).orderBy("event_no").collect()]
     assert got == ["positive", "negative", "unclassified", "neutral", "missing_delta"]
+
+
+def test_embedding_distance_equals_numpy(spark, tmp_path):
+    from driftlane import catalog
+    from driftlane.plans import scoring
+
+    rng = np.random.default_rng(3)
+    v, label = (rng.normal(size=(240, 64)) @ rng.normal(size=(64, 64))).astype(np.float32), np.arange(240) % 2
+    spark.createDataFrame([(i, v[i].tolist(), int(label[i])) for i in range(240)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r.distance for r in catalog.QUERIES["embedding_distance"](spark, str(tmp_path)).collect()}
+    for k in (0, 1):
+        x = v[label == k].astype(float)
+        gap, inverse = x - x.mean(0), np.linalg.inv(np.cov(x.T) + scoring.P.ridge * np.eye(64))
+        assert np.allclose([got[i] for i in np.flatnonzero(label == k)], np.sqrt(np.einsum("ni,ij,nj->n", gap, inverse, gap)), atol=1e-5)
