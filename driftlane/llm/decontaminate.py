@@ -8,7 +8,8 @@ in the benchmark are looked at, so most of a document costs one look-up a word.
 
 The hash set goes to the executors only up to SLICE_BYTES of benchmark text. A
 larger benchmark is worked through in slices of that size, one scan each, and
-the hits are united, so the bound never drops an item.
+the hits are united, so the bound never drops an item. `clean` removes the
+united hits and looks at what it changed again, in all slices.
 
 Defined cases: null has no words; a null item_id is written as the text `null`;
 repeated items with one id count once; repeated documents are judged each;
@@ -21,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -149,38 +151,63 @@ def without_hits(text: bytes, windows: Windows) -> bytes:
         hit, _ = windows.scan(alnum_words(text))
         if not hit.any():
             return text
-        spans = [m.span() for m in _WORD.finditer(text)]
-        out, at, k = [], 0, 0
-        while k < len(hit):
-            if hit[k]:
-                first = k
-                while k + 1 < len(hit) and hit[k + 1]:
-                    k += 1
-                out.append(text[at : spans[first][0]])
-                at = spans[k][1]
-            k += 1
-        text = b"".join([*out, text[at:]])
+        text = without_words(text, hit)
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """The documents without hit spans; a document of which no word is left goes. n_chars follows the text."""
-    columns = documents.columns
-    for items in slices(benchmark, n_slices(benchmark, slice_bytes)):
-        table = documents.sparkSession.sparkContext.broadcast(Windows(items, ngram))
-        documents = documents.mapInArrow(_cleaner(table, columns), documents.schema)
-    return documents
+def without_words(text: bytes, hit) -> bytes:
+    """The text without the spans of hit words, first to last word of each."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    out, at, k = [], 0, 0
+    while k < len(hit):
+        if hit[k]:
+            first = k
+            while k + 1 < len(hit) and hit[k + 1]:
+                k += 1
+            out.append(text[at : spans[first][0]])
+            at = spans[k][1]
+        k += 1
+    return b"".join([*out, text[at:]])
 
 
-def _cleaner(table, columns):
+def clean(documents: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """The documents without hit spans; a document of which no word is left goes. n_chars follows the text."""
+    columns, context = documents.columns, documents.sparkSession.sparkContext
+    n = n_slices(benchmark, slice_bytes)
+    if n == 1:
+        table = context.broadcast(Windows(next(slices(benchmark, n)), ngram))
+        return documents.mapInArrow(_cleaner(lambda text, _: without_hits(text, table.value), columns), documents.schema)
+    rows, done = materialise(documents.withColumn("__row", F.monotonically_increasing_id())), []
+    while True:
+        found = []
+        for items in slices(benchmark, n):
+            table = context.broadcast(Windows(items, ngram))
+            texts = rows.select("__row", F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+            one = texts.mapInArrow(_inspector(table), "row long, doc_id long, n_words long, hit array<int>, items array<string>")
+            found.append(materialise(one.filter("size(hit) > 0").select(F.col("row").alias("__row"), "hit")))
+        hits = materialise(reduce(DataFrame.unionByName, found).groupBy("__row").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("__hit")))
+        done.append(rows.join(hits, "__row", "left_anti").select(*columns))
+        if hits.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        hit = rows.join(hits, "__row").select(*columns, "__row", "__hit")
+        rows = materialise(hit.mapInArrow(_cleaner(_without_united, hit.columns), hit.schema).drop("__hit"))
+
+
+def _without_united(text: bytes, at: list[int]) -> bytes:
+    hit = np.zeros(len(alnum_words(text)), bool)
+    hit[at] = True
+    return without_words(text, hit)
+
+
+def _cleaner(cleaned, columns):
     at, chars = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
+    hits = columns.index("__hit") if "__hit" in columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = table.value
         for batch in batches:
             changed, keep = {}, []
             for i, text in enumerate(batch.column(at)):
                 raw = (text.as_py() or "").encode()
-                new = without_hits(raw, windows)
+                new = cleaned(raw, batch.column(hits)[i].as_py() if hits is not None else None)
                 if new is not raw:
                     changed[i] = new.decode()
                 if new is raw or alnum_words(new):

@@ -211,6 +211,19 @@ def test_decontamination_equals_brute_force(spark, corpus):
         assert all(same[i] == texts[i] for i, r in got.items() if not r.contaminated)
 
 
+def test_slices_of_the_benchmark_clean_as_one(spark):
+    rng = random.Random(12)
+    d, items = [], []
+    for i in range(6):
+        w = words(rng, 30)
+        d.append(" ".join(["before", *w, "after"]))
+        items += [(f"{i}a", " ".join(w[5:25])), (f"{i}b", " ".join(w))]
+    b = spark.createDataFrame(items, "item_id string, text string")
+    one, many = ({r.doc_id: (r.text, r.n_chars) for r in decontaminate.clean(docs(spark, d), b, slice_bytes=n).collect()} for n in (decontaminate.SLICE_BYTES, 400))
+    assert one == many and {t.split()[0] + t.split()[-1] for t, _ in many.values()} == {"beforeafter"}
+    assert all(len(t.split()) == 2 for t, _ in many.values())
+
+
 def labelled(spark, n=400):
     rng = random.Random(2)
     texts, bad = [], []
