@@ -44,7 +44,7 @@ _PATTERN = re.compile(
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))"
 )
-_MAYBE = re.compile(r"[0-9@]|(?i:passw|pwd|secret|token|key)")
+_MAYBE = re.compile(r"[0-9@]|AKIA|ASIA|(?i:passw|pwd|secret|token|key)")
 
 
 class Feistel:

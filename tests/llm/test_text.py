@@ -297,6 +297,12 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert (rows[2].text, rows[3].text, rows[4].text, rows[4].n_spans) == (None, "", "plain words", 0)
 
 
+def test_access_key_of_letters_only():
+    text = "the id is AKIA" + "QWERTYUIOPASDFGH" + " here"
+    new, spans = pseudonyms.Pseudonyms(b"k").text(text)
+    assert [s[0] for s in spans] == ["secret"] and "QWERTY" not in new
+
+
 def test_feistel_is_a_permutation():
     f = pseudonyms.Feistel(b"k")
     for n in (1, 2, 7, 100, 1000):
