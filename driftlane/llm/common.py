@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 import zlib
 
 import numpy as np
@@ -13,7 +15,8 @@ from pyspark.sql import functions as F
 #: Stands in for a null doc_id inside an operator, so that any real id is smaller.
 NO_ID = 2**63 - 1
 
-_own_dir: list[str] = []
+#: Where the frames of `materialise` lie.
+_paths: dict[int, str] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,20 +24,37 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
+    """The folder all executors share, from spark.checkpoint.dir; one of its own only in local mode, where all is one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not _own_dir:
-            _own_dir.append(tempfile.mkdtemp(prefix="driftlane-"))
-        base = _own_dir[0]
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"{tempfile.gettempdir()}/driftlane-{spark.sparkContext.applicationId}"
     return base.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Cuts lineage: writes df as Parquet in the shared folder and reads it back."""
-    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    """Cuts lineage: writes df as Parquet in the shared folder and reads it back. The files go when Spark ends, or by `dropped`."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    fs, p = _hadoop(spark, path)
+    fs.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a frame from `materialise` that nothing reads any more."""
+    fs, p = _hadoop(df.sparkSession, _paths[id(df)])
+    fs.delete(p, True)
 
 
 def with_rid(df: DataFrame) -> DataFrame:

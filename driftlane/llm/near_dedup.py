@@ -1,23 +1,22 @@
-"""Near-duplicate groups by MinHash and an LSH forest.
+"""Near-duplicate groups by MinHash and an LSH forest of sorted signature orders.
 
 Every document becomes the set of its five-word shingles. Documents with one
 and the same set form a class; only one document of a class goes on. A class
-has some signature orders of DEPTH minima each. In each order, classes with a
-common prefix of at least some minima form a region, and members of a region
-are candidates for each other; `forest` chooses both numbers for a percentage.
-Work then goes in three rounds:
-
-1. each class is held against the smallest class of each of its regions (a
-   star, so linear in a region's size); confirmed links give first components;
-2. a region with more than REGION classes is split by the next minimum of its
-   order, again and again where it stays dense, so each region ends at the
-   depth its density asks for; within the final regions, all pairs from
-   different components are confirmed. Classes that agree on all minima of an
-   order and are still too many are dealt into blocks, other ones each order;
-3. regions of more than REGION classes that still hold several components are
-   gone through exactly: a prefix-filter join on shingles gives all pairs from
-   different components that can be similar enough, so no pair is parted by
-   the splits of round 2.
+has some orders of DEPTH minima each. In each order all classes are sorted by
+their whole signature, over range partitions, so no prefix, however frequent,
+is one task's. Neighbours there have the longest common prefixes; a run of
+neighbours with a common prefix of at least some minima is a region, and a
+dense region is gone through at the depth that its density asks for, as the
+nearest rows are those with the longest prefixes. `forest` chooses the number
+of orders and the least depth for a percentage. Work goes in three rounds:
+
+1. each class with its neighbour in the first order that gives it one (linear
+   in the classes); confirmed links give first components;
+2. of each order, all pairs of a region at most WINDOW places apart whose
+   components still differ;
+3. regions of more than WINDOW + 1 classes that still hold several components
+   are gone through exactly: a prefix-filter join on their shingles, rarest
+   first, gives all pairs of different components that can be similar enough.
 
 Links are confirmed on the full sets: 100 * common >= 85 * union by default.
 Components come from alternating large-star and small-star steps on written
@@ -41,14 +40,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlane.llm.common import NO_ID, Cache, materialise, real_id, space_words, splitmix, with_rid
+from driftlane.llm.common import NO_ID, Cache, dropped, materialise, real_id, space_words, splitmix, with_rid
 
-WIDTH, DEPTH, REGION = 5, 8, 32
+WIDTH, DEPTH, WINDOW = 5, 8, 16
 #: At the percentage itself, an order is to show a pair at least so often, and all orders to miss it at most so often.
 SHOWN, MISSED = 0.4, 1e-4
 _BLOCK = 4096
-#: Ids (about 50 bytes each) of candidates that are broadcast at most.
-BROADCAST_ROWS = 2_000_000
+#: Counters of the sketch of shingle frequencies: 4 MB, whatever the input.
+SKETCH = 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -92,44 +91,103 @@ def signature(hashes: np.ndarray, perms) -> np.ndarray:
     return out
 
 
-def prefix_keys(minima: np.ndarray, least: int) -> np.ndarray:
-    """For each order, one key for the prefix of each depth from the least to DEPTH: shape (orders, levels)."""
-    m = minima.reshape(-1, DEPTH).astype(np.uint64)
-    key = splitmix(np.arange(1, len(m) + 1, dtype=np.uint64))
-    out = np.empty((len(m), DEPTH - least + 1), np.uint64)
-    for depth in range(DEPTH):
-        key = splitmix(key * _MULTIPLIER + m[:, depth])
-        if depth >= least - 1:
-            out[:, depth - least + 1] = key
-    return out
-
+_SIGNED = "rid long, dig binary, n_shingles long, cls binary, sig binary"
 
-_SIGNED = "rid long, dig binary, n_shingles long, cls binary, keys array<long>"
 
-
-def _signer(trees: int, least: int):
+def _signer(orders: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, perms = word_hashes(), _permutations(trees)
+        words, perms = word_hashes(), _permutations(orders)
         for batch in batches:
-            n, cls, keys = [], [], []
+            n, cls, sig = [], [], []
             for text in batch.column(2):
                 s = shingles(text.as_py(), words)
                 n.append(len(s))
-                if len(s):
-                    cls.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    keys.append(prefix_keys(signature(s, perms), least).view(np.int64).ravel())
-                else:
-                    cls.append(None)
-            offsets = np.concatenate([[0], np.cumsum([0 if c is None else trees * (DEPTH - least + 1) for c in cls])]).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["rid", "dig", "n_shingles", "cls", "keys"],
-            )
+                cls.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                sig.append(signature(s, perms).astype(">u4").tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], names=["rid", "dig", "n_shingles", "cls", "sig"])
 
     return sign
 
 
+def prefix_key(order: np.ndarray, minima: np.ndarray, least: int) -> np.ndarray:
+    """One number for each row's order and first `least` minima."""
+    key = splitmix(order.astype(np.uint64) + np.uint64(1))
+    for depth in range(least):
+        key = splitmix(key * _MULTIPLIER + minima[:, depth].astype(np.uint64))
+    return key.view(np.int64)
+
+
+def common_prefix(order: np.ndarray, minima: np.ndarray) -> np.ndarray:
+    """How many first minima each row shares with the one before it; 0 for the first and across orders."""
+    same = np.cumprod(minima[1:] == minima[:-1], axis=1).sum(axis=1) * (order[1:] == order[:-1])
+    return np.concatenate([[0], same])
+
+
+_RUNS = "pid int, idx long, ord int, node long, key long, prev long, sig binary"
+
+
+def _neighbours(least: int):
+    """Of sorted rows (ord, sig, node), those in a region: with their place idx, the region's key, and the neighbour before.
+
+    The first and last row of a partition come in any case, with sig, so that neighbours across partitions can be told.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        pid, idx, held = TaskContext.get().partitionId(), 0, None
+
+        def rows(order, minima, node, lcp, prev, keep, edge):
+            nonlocal idx
+            at = np.flatnonzero(keep)
+            sig = [minima[i].astype(">u4").tobytes() if edge[i] else None for i in at]
+            out = [np.full(len(at), pid, np.int32), idx + np.arange(len(at)), order[at], node[at], prefix_key(order[at], minima[at], least)]
+            idx += len(at)
+            before = pa.array(prev[at], pa.int64(), mask=lcp[at] < least)
+            return pa.RecordBatch.from_arrays([*(pa.array(x) for x in out), before, pa.array(sig, pa.binary())], names=["pid", "idx", "ord", "node", "key", "prev", "sig"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            order, node = batch.column(0).to_numpy().astype(np.int32), batch.column(2).to_numpy()
+            minima = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u4").reshape(len(order), -1).astype(np.uint32)
+            first = held is None
+            if not first:
+                order, minima, node = (np.concatenate([h, x]) for h, x in zip(held[:3], (order, minima, node), strict=True))
+            lcp, prev = common_prefix(order, minima), np.concatenate([node[:1], node[:-1]])
+            if not first:
+                lcp[0], prev[0] = held[3], held[4]
+            keep = (lcp[:-1] >= least) | (lcp[1:] >= least)
+            edge = np.zeros(len(order), bool)
+            if first:
+                edge[0] = True
+            elif held[5]:
+                edge[0] = True
+            if len(order) > 1:
+                yield rows(order[:-1], minima[:-1], node[:-1], lcp[:-1], prev[:-1], keep | edge[:-1], edge)
+            held = (order[-1:], minima[-1:], node[-1:], lcp[-1], prev[-1], len(order) == 1 and bool(edge[0]))
+        if held:
+            one = np.ones(1, bool)
+            yield rows(held[0], held[1], held[2], np.array([held[3]]), np.array([held[4]]), one, one)
+
+    return run
+
+
+def _borders(runs: DataFrame, least: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
+    """Of the partitions' first and last rows (two a partition): (pid, rows before it), and (ord, node, prev) of neighbours across partitions."""
+    ends = sorted(runs.filter("sig is not null").select("pid", "idx", "ord", "node", "sig").collect())
+    before, found, total = {}, [], 0
+    for i, row in enumerate(ends):
+        if i and ends[i - 1].pid != row.pid:
+            last = ends[i - 1]
+            total += last.idx + 1
+            both = np.frombuffer(bytes(last.sig) + bytes(row.sig), ">u4").reshape(2, -1)
+            if common_prefix(np.array([last.ord, row.ord]), both)[1] >= least:
+                found.append((row.ord, row.node, last.node))
+        before.setdefault(row.pid, total)
+    return list(before.items()), found
+
+
 def _confirmer(percent: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, last = word_hashes(), (None, None)
@@ -152,24 +210,10 @@ def _confirmer(percent: int):
     return confirm
 
 
-def confirmed(docs: DataFrame, names: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) of nodes whose full sets are similar enough.
-
-    docs has rid, dig and text; names has the rid and dig of each node.
-
-    The ids go to the documents where they are few enough (BROADCAST_ROWS);
-    beyond that ids and texts meet in a shuffle.
-    """
-    pairs = materialise(pairs)
-    need = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(names, "node"))
-    if need.count() <= BROADCAST_ROWS:
-        need = F.broadcast(need)
-    texts = materialise(docs.join(need, ["rid", "dig"]).dropDuplicates(["node"]).select("node", "text"))
-    both = (
-        pairs.join(texts.select(F.col("node").alias("b"), F.col("text").cast("binary").alias("tb")), "b")
-        .join(texts.select(F.col("node").alias("a"), F.col("text").cast("binary").alias("ta")), "a")
-        .select("a", "b", "ta", "tb")
-    )
+def confirmed(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) of nodes whose full sets are similar enough; texts has node and text."""
+    side = lambda n: texts.select(F.col("node").alias(n), F.col("text").alias(f"t{n}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb")
     return materialise(both.mapInArrow(_confirmer(percent), "a long, b long"))
 
 
@@ -184,7 +228,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").filter("a > m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-        e = materialise(small.union(least.select(F.col("m").alias("a"), "b")).distinct())
+        was_e, e = e, materialise(small.union(least.select(F.col("m").alias("a"), "b")).distinct())
+        dropped(was_e)
         now = state(e)
         if now == was:
             break
@@ -192,44 +237,62 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.explode(F.array(F.struct(F.col("b").alias("node"), F.col("a").alias("comp")), F.struct(F.col("a").alias("node"), F.col("a").alias("comp")))).alias("x")).select("x.*").distinct()
 
 
-def _fitted_regions(trees: DataFrame) -> DataFrame:
-    """Adds `region`: the key of the shallowest prefix that at most REGION classes share."""
-    fit = trees.filter(F.col("c0") <= REGION).select("node", F.col("k0").alias("region"))
-    dense = trees.filter(F.col("c0") > REGION)
-    levels = sum(c.startswith("k") for c in trees.columns)
-    for level in range(1, levels):
-        sizes = dense.groupBy(f"k{level}").agg(F.count("*").alias(f"c{level}"))
-        dense = dense.join(sizes, f"k{level}")
-        fit = fit.union(dense.filter(F.col(f"c{level}").between(2, REGION)).select("node", f"k{level}"))
-        dense = dense.filter(F.col(f"c{level}") > REGION)
-    deepest = f"k{levels - 1}"
-    block = F.pmod(F.xxhash64(deepest, "node"), F.ceil(F.col(f"c{levels - 1}") / REGION))
-    return fit.union(dense.select("node", F.xxhash64(deepest, block)))
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's sketch: how many sets have a shingle in each of SKETCH counters."""
+    found = np.zeros(SKETCH, np.int64)
+    for batch in batches:
+        flat = batch.column(0).flatten().to_numpy().view(np.uint64)
+        np.add(found, np.bincount((flat % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH), out=found)
+    at = np.flatnonzero(found)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(found[at])], names=["slot", "n"])
+
+
+def _prefixes(sketch, percent: int):
+    """The shingles of each set that a similar partner must have one of, rarest first; those of no other set are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = sketch.value
+        for batch in batches:
+            node, comp, size, rest, shingle = [], [], [], [], []
+            for i, one in enumerate(batch.column(2)):
+                s = one.values.to_numpy()
+                n = len(s)
+                df = counts[(s.view(np.uint64) % np.uint64(SKETCH)).astype(np.int64)]
+                order = np.lexsort((s, df))[: n - -(-percent * n // 100) + 1]
+                order, at = order[df[order] > 1], np.flatnonzero(df[order] > 1)
+                shingle.append(s[order])
+                rest.append(n - at)
+                for out, v in ((node, i), (comp, i), (size, n)):
+                    out.append(np.full(len(at), v))
+            node, comp, size, rest, shingle = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (node, comp, size, rest, shingle))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(node)), batch.column(1).take(pa.array(comp)), pa.array(size, pa.int64()), pa.array(rest, pa.int64()), pa.array(shingle, pa.int64())], names=["node", "comp", "n", "rest", "s"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = word_hashes()
     for batch in batches:
         sets = [shingles(text.as_py(), words).view(np.int64) for text in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "comp", "n", "s"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.list_(pa.int64()))], names=["node", "comp", "s"])
 
 
-def _prefix_pairs(docs: DataFrame, names: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _prefix_pairs(texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """All pairs (a, b) of nodes (node, comp) from different components that can be similar enough.
 
-    With shingles in one order, rarest first, similar sets share one of their
-    first n - ceil(percent * n / 100) + 1, and at the first they share, the
-    smaller rest bounds what they have in common. The bound is put to cells of
-    equal size and position before any nodes are paired.
+    With shingles in one order, similar sets share one of their first
+    n - ceil(percent * n / 100) + 1, and at the first they share, the smaller
+    rest bounds what they have in common. The order is by counts in a sketch
+    of fixed size (any order is right; rarest first gives few pairs). The
+    bound is put to cells of equal size and rest before nodes are paired.
     """
-    sets = materialise(docs.join(nodes.join(names, "node"), ["rid", "dig"]).dropDuplicates(["node"]).select("node", "comp", F.col("text").cast("binary")).mapInArrow(_sets, "node long, comp long, n long, s array<long>"))
-    tokens = sets.select("node", "comp", "n", F.explode("s").alias("s"))
-    counts = tokens.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = tokens.join(counts, "s").groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("r"))
-    # shingles of one set only come first in the order, and no partner has them
-    first = F.expr(f"slice(r, 1, cast(greatest(size(r) - ({percent} * n + 99) div 100 + 1, 0) as int))")
-    prefix = ranked.select("node", "comp", "n", (F.col("n") - F.size("r")).alias("own"), F.posexplode(first).alias("i", "t"))
-    prefix = materialise(prefix.select("node", "comp", "n", (F.col("n") - F.col("own") - F.col("i")).alias("rest"), F.col("t.s").alias("s")))
+    sets = materialise(texts.join(nodes, "node").select("node", "comp", "text").mapInArrow(_sets, "node long, comp long, s array<long>"))
+    slots = sets.select("s").mapInArrow(_counted, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()
+    sketch = np.ones(SKETCH, np.int32)
+    sketch[slots.column("slot").to_numpy()] = np.minimum(slots.column("n").to_numpy(), 2**31 - 1)
+    shared = texts.sparkSession.sparkContext.broadcast(sketch)
+    prefix = materialise(sets.mapInArrow(_prefixes(shared, percent), "node long, comp long, n long, rest long, s long"))
+    dropped(sets)
     cells = materialise(prefix.groupBy("s", "n", "rest").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")))
     mixed = cells.groupBy("s").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).filter("l < h").select("s")
     cells = cells.join(mixed, "s")
@@ -247,42 +310,44 @@ def _digest(text):
 
 def _grouped(documents: DataFrame, percent: int) -> DataFrame:
     """One row per document: rid, dig, n_shingles, and first and rep, the smallest (rid, dig) of its component and of its class."""
-    docs = with_rid(documents).withColumn("dig", _digest(F.col("text")))
+    spark = documents.sparkSession
+    docs = with_rid(documents).select("rid", _digest(F.col("text")).alias("dig"), F.col("text").cast("binary").alias("text"))
     orders, least = forest(percent)
-    signed = materialise(docs.select("rid", "dig", F.col("text").cast("binary").alias("text")).mapInArrow(_signer(orders, least), _SIGNED))
+    signed = materialise(docs.mapInArrow(_signer(orders), _SIGNED))
     filled = signed.filter("n_shingles > 0")
-    classes = filled.groupBy("cls").agg(F.min(F.struct("rid", "dig")).alias("rep"))
+    classes = filled.groupBy("cls").agg(F.min(F.struct("rid", "dig")).alias("rep"), F.first("sig").alias("sig"))
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()))
-    names = classes.select("node", "rep.rid", "rep.dig")
-
-    levels = [f"k{i}" for i in range(DEPTH - least + 1)]
-    reps = classes.select("cls", "rep.rid", "rep.dig", "node")
-    trees = filled.join(reps, ["cls", "rid", "dig"]).dropDuplicates(["node"]).select(
-        "node",
-        F.explode(F.transform(F.sequence(F.lit(0), F.lit(orders - 1)), lambda t: F.struct(*[F.get(F.col("keys"), t * len(levels) + i).alias(k) for i, k in enumerate(levels)]))).alias("k"),
-    ).select("node", "k.*")
-    regions = trees.groupBy("k0").agg(F.count("*").alias("c0"), F.min("node").alias("leader")).filter("c0 > 1")
-    trees = materialise(trees.join(regions, "k0"))
-
-    stars = trees.filter("leader < node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = confirmed(docs, names, stars, percent)
-    comps = materialise(components(links))
-
-    fitted = _fitted_regions(trees).join(comps, "node", "left").select("node", "region", F.coalesce("comp", "node").alias("comp"))
-    mixed = fitted.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("region")
-    fitted = materialise(fitted.join(mixed, "region"))
-    left, right = (fitted.select("region", F.col("node").alias(n), F.col("comp").alias(f"comp_{n}")) for n in "ab")
-    pairs = left.join(right, "region").filter("a < b and comp_a <> comp_b").select("a", "b").distinct()
-    pairs = pairs.join(stars, ["a", "b"], "left_anti")
-    links = links.union(confirmed(docs, names, pairs, percent))
-    comps = materialise(components(links))
-
-    dense = trees.filter(F.col("c0") > REGION).join(comps, "node", "left").select("node", "k0", F.coalesce("comp", "node").alias("comp"))
-    mixed = dense.groupBy("k0").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("k0")
-    dense = materialise(dense.join(mixed, "k0").select("node", "comp").distinct())
+
+    at = F.transform(F.sequence(F.lit(0), F.lit(orders - 1)), lambda t: F.struct(t.alias("ord"), F.substring("sig", t * (4 * DEPTH) + 1, F.lit(4 * DEPTH)).alias("sig")))
+    by = ["ord", "sig", "node"]
+    trees = classes.select("node", F.explode(at).alias("k")).select("k.ord", "k.sig", "node").repartitionByRange(*by).sortWithinPartitions(*by)
+    runs = materialise(trees.mapInArrow(_neighbours(least), _RUNS))
+    before, across = _borders(runs, least)
+    starts = spark.createDataFrame(before, "pid int, start long")  # a row a partition
+    placed = runs.join(F.broadcast(starts), "pid").select("node", "key", (F.col("start") + F.col("idx")).alias("pos"))
+    texts = classes.join(runs.select("node").distinct(), "node").select("node", "rep.rid", "rep.dig").hint("merge")
+    texts = materialise(docs.groupBy("rid", "dig").agg(F.first("text").alias("text")).join(texts, ["rid", "dig"]).select("node", "text"))
+
+    steps = runs.filter("prev is not null").select("ord", "node", "prev").union(spark.createDataFrame(across, "ord int, node long, prev long"))
+    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    steps = materialise(steps.groupBy("node").agg(F.min_by("prev", "ord").alias("prev")).select(*ordered("node", "prev")).distinct())
+    comps = materialise(components(confirmed(texts, steps, percent)))
+
+    with_comp = lambda c: placed.join(c, "node", "left").select("key", "pos", "node", F.coalesce("comp", "node").alias("comp"))
+    near = with_comp(comps).withColumn("block", F.floor(F.col("pos") / WINDOW))
+    left = near.select("key", "block", F.col("pos").alias("pos_a"), F.col("node").alias("x"), F.col("comp").alias("comp_a"))
+    right = near.select("key", F.explode(F.array("block", F.col("block") - 1)).alias("block"), F.col("pos").alias("pos_b"), F.col("node").alias("y"), F.col("comp").alias("comp_b"))
+    close = left.join(right, ["key", "block"]).filter(f"pos_b > pos_a and pos_b <= pos_a + {WINDOW} and comp_a <> comp_b").select(*ordered("x", "y")).distinct()
+    close = materialise(close.join(steps, ["a", "b"], "left_anti"))
+    edges = lambda c: c.select(F.col("comp").alias("a"), F.col("node").alias("b"))
+    comps = materialise(components(edges(comps).union(confirmed(texts, close, percent))))
+
+    rest = with_comp(comps)
+    mixed = rest.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(f"n > {WINDOW + 1} and lo < hi").select("key")
+    dense = materialise(rest.join(mixed, "key", "left_semi").select("node", "comp").distinct())
     if not dense.isEmpty():
-        pairs = _prefix_pairs(docs, names, dense, percent).join(stars, ["a", "b"], "left_anti")
-        comps = components(links.union(confirmed(docs, names, pairs, percent)))
+        pairs = _prefix_pairs(texts, dense, percent).join(steps.union(close), ["a", "b"], "left_anti")
+        comps = components(edges(comps).union(confirmed(texts, pairs, percent)))
 
     found = classes.join(comps, "node", "left").select("cls", "rep", F.coalesce("comp", "node").alias("comp"))
     found = found.join(found.groupBy("comp").agg(F.min("rep").alias("first")), "comp")

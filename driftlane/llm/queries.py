@@ -4,17 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlane.llm import decontaminate, exact_dedup, html_extract, near_dedup, packing, pseudonyms, quality, sharding, toxicity, url_filter
+from driftlane.llm import corpus, decontaminate, exact_dedup, html_extract, near_dedup, packing, pseudonyms, quality, sharding, toxicity, url_filter
 from driftlane.llm.common import read_table
-
-TOKENIZER = "word_bpe_49k.json"
-
-
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(TOKENIZER)
-
+from driftlane.llm.corpus import tokenizer_path
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
@@ -58,9 +50,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return corpus.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_exact_dedup, op4_packing, op5_sharding, op6_toxicity, op7_url_filter, op8_pseudonyms, op9_html_extract, op10_decontaminate, pipeline)}

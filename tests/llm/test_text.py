@@ -64,7 +64,7 @@ def test_near_duplicates_equal_brute_force(spark, corpus):
 
 
 def test_dense_region_is_split_and_still_joined(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "REGION", 4)
+    monkeypatch.setattr(near_dedup, "WINDOW", 2)
     rng = random.Random(1)
     base = words(rng, 120)
     texts = []
@@ -77,7 +77,7 @@ def test_dense_region_is_split_and_still_joined(spark, monkeypatch):
 
 
 def test_pairs_parted_in_dense_regions_are_joined(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "REGION", 2)
+    monkeypatch.setattr(near_dedup, "WINDOW", 2)
     rng = random.Random(5)
     base, texts = words(rng, 180), []
     for i in range(60):
@@ -93,7 +93,7 @@ def test_pairs_parted_in_dense_regions_are_joined(spark, monkeypatch):
 
 
 def test_pipeline_drops_near_copies_of_80_percent(spark):
-    import corpus_pipeline
+    from driftlane.llm import corpus as corpus_pipeline
 
     assert near_dedup.forest(85) == (16, 5) and near_dedup.forest(80) == (18, 4)
     base = words(random.Random(6), 104)
@@ -331,7 +331,7 @@ def test_empty_tables(spark):
 
 
 def test_pipeline_stages(spark, tmp_path, corpus):
-    import corpus_pipeline
+    from driftlane.llm import corpus as corpus_pipeline
 
     rng = random.Random(9)
     d, lab, bad = labelled(spark, 120)
