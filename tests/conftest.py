@@ -11,8 +11,10 @@ def spark():
     from pyspark.sql import SparkSession
 
     s = (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "4g").getOrCreate()
+        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "3").config("spark.ui.enabled", "false")
+        .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "4g")
+        # tiny inputs: compiling each plan would take longer than running it
+        .config("spark.sql.codegen.wholeStage", "false").config("spark.driver.extraJavaOptions", "-XX:TieredStopAtLevel=1").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
