@@ -6,8 +6,8 @@ word, is one window. Windows are hashed; a document's windows are looked up by
 hash and each hit is verified word by word. Only runs of words that all occur
 in the benchmark are looked at, so most of a document costs one look-up a word.
 
-The hash set goes to the executors only up to SLICE_BYTES of benchmark text. A
-larger benchmark is worked through in slices of that size, one scan each, and
+The hash set goes to the executors as plain arrays, only up to SLICE_BYTES of
+benchmark text (some 15 times as much when built, at the most). A larger benchmark is worked through in slices of that size, one scan each, and
 the hits are united, so the bound never drops an item. `clean` removes the
 united hits and looks at what it changed again, in all slices.
 
@@ -32,28 +32,50 @@ from pyspark.sql import functions as F
 from driftlane.llm.common import alnum_words, materialise, splitmix
 
 NGRAM = 10
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 8 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
 class Windows:
-    """The benchmark's windows by length: sorted hashes, and the words and items behind each."""
+    """The benchmark's windows: word numbers of all items in a row, and by window length sorted hashes with place and item."""
 
-    def __init__(self, items: list[tuple[str, bytes]], ngram: int = NGRAM):
-        self.vocabulary: dict[bytes, int] = {}
-        tables: dict[int, dict[tuple[int, ...], set[str]]] = {}
+    def __init__(self, vocabulary: dict[bytes, int], words: np.ndarray, tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], names: list[str]):
+        self.vocabulary, self.words, self.tables, self.names = vocabulary, words, tables, names
+
+    @classmethod
+    def build(cls, items: list[tuple[str, bytes]], ngram: int = NGRAM) -> "Windows":
+        vocabulary: dict[bytes, int] = {}
+        names = sorted({item for item, _ in items})
+        number = {name: i for i, name in enumerate(names)}
+        flat, places, at = [], {}, 0
         for item, text in items:
-            ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in alnum_words(text))
+            ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in alnum_words(text)], np.uint32)
             n = min(ngram, len(ids))
-            for i in range(len(ids) - n + 1) if n else ():
-                tables.setdefault(n, {}).setdefault(ids[i : i + n], set()).add(item)
-        self.tables = {}
-        for n, table in tables.items():
-            grams = np.array(list(table), np.uint64).reshape(-1, n)
-            hashes = self._hash(grams.T)
-            order = np.argsort(hashes, kind="stable")
-            self.tables[n] = (hashes[order], grams[order], [sorted(list(table.values())[i]) for i in order])
+            if n:
+                own = places.setdefault(n, ([], []))
+                own[0].append(at + np.arange(len(ids) - n + 1))
+                own[1].append(np.full(len(ids) - n + 1, number[item], np.int32))
+            flat.append(ids)
+            at += len(ids)
+        words = np.concatenate([*flat, np.empty(0, np.uint32)])
+        tables = {}
+        for n, (place, item) in places.items():
+            place, item = np.concatenate(place), np.concatenate(item)
+            hashes = cls._hash([words[place + i] for i in range(n)])
+            order = np.lexsort((item, hashes))
+            hashes, place, item = hashes[order], place[order], item[order]
+            # of equal windows of one item, one is enough
+            same = (hashes[1:] == hashes[:-1]) & (item[1:] == item[:-1])
+            for i in range(n):
+                same &= words[place[1:] + i] == words[place[:-1] + i]
+            keep = np.concatenate([[True], ~same])
+            tables[n] = (hashes[keep], place[keep], item[keep])
+        return cls(vocabulary, words, tables, names)
+
+    def state(self) -> tuple:
+        """Plain values for a broadcast, which executors read without this library; at most some 30 bytes a word besides the text."""
+        return self.vocabulary, self.words, self.tables, self.names
 
     @staticmethod
     def _hash(columns) -> np.ndarray:
@@ -66,9 +88,9 @@ class Windows:
         """Which words are hit, and the items found."""
         hit, items = np.zeros(len(words) + 1, np.int64), set()
         get = self.vocabulary.get
-        ids = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
+        ids = np.fromiter((get(w, 0) for w in words), np.uint32, len(words))
         known = np.concatenate([[0], np.cumsum(ids > 0)])
-        for n, (hashes, grams, owners) in self.tables.items():
+        for n, (hashes, place, owner) in self.tables.items():
             if len(words) < n:
                 continue
             at = np.flatnonzero(known[n:] - known[:-n] == n)
@@ -77,13 +99,13 @@ class Windows:
             h = self._hash([ids[at + i] for i in range(n)])
             lo, hi = np.searchsorted(hashes, h), np.searchsorted(hashes, h, side="right")
             for k in np.flatnonzero(hi > lo):
-                window = ids[at[k] : at[k] + n]
-                for j in range(lo[k], hi[k]):
-                    if np.array_equal(grams[j], window):
-                        hit[at[k]] += 1
-                        hit[at[k] + n] -= 1
-                        items.update(owners[j])
-        return np.cumsum(hit[:-1]) > 0, items
+                window, found = ids[at[k] : at[k] + n], slice(lo[k], hi[k])
+                right = (self.words[place[found, None] + np.arange(n)] == window).all(axis=1)
+                if right.any():
+                    hit[at[k]] += 1
+                    hit[at[k] + n] -= 1
+                    items.update(owner[found][right].tolist())
+        return np.cumsum(hit[:-1]) > 0, {self.names[i] for i in items}
 
 
 def n_slices(benchmark: DataFrame, slice_bytes: int = SLICE_BYTES) -> int:
@@ -112,7 +134,7 @@ def inspect(documents: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, slic
         rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()))
     whole = None
     for items in slices(benchmark, n):
-        table = rows.sparkSession.sparkContext.broadcast(Windows(items, ngram))
+        table = rows.sparkSession.sparkContext.broadcast(Windows.build(items, ngram).state())
         found = rows.mapInArrow(_inspector(table), "row long, doc_id long, n_words long, hit array<int>, items array<string>")
         if whole is None:
             whole = found
@@ -129,7 +151,7 @@ def inspect(documents: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, slic
 
 def _inspector(table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = table.value
+        windows = Windows(*table.value)
         for batch in batches:
             n, hits, items = [], [], []
             for text in batch.column(2):
@@ -174,13 +196,13 @@ def clean(documents: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, slice_
     columns, context = documents.columns, documents.sparkSession.sparkContext
     n = n_slices(benchmark, slice_bytes)
     if n == 1:
-        table = context.broadcast(Windows(next(slices(benchmark, n)), ngram))
-        return documents.mapInArrow(_cleaner(lambda text, _: without_hits(text, table.value), columns), documents.schema)
+        table = context.broadcast(Windows.build(next(slices(benchmark, n)), ngram).state())
+        return documents.mapInArrow(_cleaner(_without_all(table), columns), documents.schema)
     rows, done = materialise(documents.withColumn("__row", F.monotonically_increasing_id())), []
     while True:
         found = []
         for items in slices(benchmark, n):
-            table = context.broadcast(Windows(items, ngram))
+            table = context.broadcast(Windows.build(items, ngram).state())
             texts = rows.select("__row", F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
             one = texts.mapInArrow(_inspector(table), "row long, doc_id long, n_words long, hit array<int>, items array<string>")
             found.append(materialise(one.filter("size(hit) > 0").select(F.col("row").alias("__row"), "hit")))
@@ -189,7 +211,15 @@ def clean(documents: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, slice_
         if hits.isEmpty():
             return reduce(DataFrame.unionByName, done)
         hit = rows.join(hits, "__row").select(*columns, "__row", "__hit")
-        rows = materialise(hit.mapInArrow(_cleaner(_without_united, hit.columns), hit.schema).drop("__hit"))
+        rows = materialise(hit.mapInArrow(_cleaner(lambda: _without_united, hit.columns), hit.schema).drop("__hit"))
+
+
+def _without_all(table):
+    def make():
+        windows = Windows(*table.value)
+        return lambda text, _: without_hits(text, windows)
+
+    return make
 
 
 def _without_united(text: bytes, at: list[int]) -> bytes:
@@ -198,11 +228,12 @@ def _without_united(text: bytes, at: list[int]) -> bytes:
     return without_words(text, hit)
 
 
-def _cleaner(cleaned, columns):
+def _cleaner(make, columns):
     at, chars = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
     hits = columns.index("__hit") if "__hit" in columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cleaned = make()
         for batch in batches:
             changed, keep = {}, []
             for i, text in enumerate(batch.column(at)):

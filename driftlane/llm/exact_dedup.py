@@ -25,28 +25,31 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlane.llm.common import NO_ID, materialise, real_id, with_rid
+from driftlane.llm.common import NO_ID, materialise, real_id
 from driftlane.llm.fuse_filter import BinaryFuse8
 
 WHITE = " \t\n\x0b\x0c\r"
 #: Distinct digests a bucket (and so a filter) should hold.
 BUCKET_KEYS = 200_000
-#: Rows (an id and a digest each, some 100 bytes) of positives that are broadcast at most.
-BROADCAST_ROWS = 1_000_000
 
 
 def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), WHITE, "")
 
 
-def digests(documents: DataFrame, *extra: Column) -> DataFrame:
-    """(rid, sha, len) of documents."""
-    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rid"), *extra, F.sha2(normalised(F.col("text")), 256).alias("sha"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("len"))
+def keyed(documents: DataFrame) -> DataFrame:
+    """Documents with rid and xx, which together name a row up to its exact repeats."""
+    return documents.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rid"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("xx"))
+
+
+def digests(rows: DataFrame, *extra: Column) -> DataFrame:
+    """(rid, xx, sha, len) of rows (rid, xx, text)."""
+    return rows.select("rid", "xx", *extra, F.sha2(normalised(F.col("text")), 256).alias("sha"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("len"))
 
 
 def grouped(rows: DataFrame, *extra: str) -> DataFrame:
     """One row per digest: the best document and the number of rows."""
-    best = F.max(F.struct(F.col("len"), (-F.col("rid")).alias("neg"))).alias("best")
+    best = F.max(F.struct(F.col("len"), (-F.col("rid")).alias("neg"), F.col("xx"))).alias("best")
     return rows.groupBy("sha", *extra).agg(best, F.count("*").alias("n"))
 
 
@@ -80,41 +83,43 @@ def screen(batch: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
 
 
 def _other_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (sha, old, new), those whose normalised texts differ after all.
-
-    The pairs go to the documents where they are few enough (BROADCAST_ROWS);
-    beyond that both meet in one shuffle.
-    """
-    need = materialise(pairs.select("sha", F.explode(F.array("old", "new")).alias("rid")))
-    if need.count() <= BROADCAST_ROWS:
-        need = F.broadcast(need)
-    texts = docs.join(need, "rid").select("sha", normalised(F.col("text")).alias("text")).filter(F.sha2("text", 256) == F.col("sha"))
+    """Of pairs (sha, old, new) of rows (rid, xx), those whose normalised texts differ after all; ids and texts meet in one shuffle."""
+    need = pairs.select("sha", F.explode(F.array("old", "new")).alias("r")).select("sha", "r.*")
+    texts = docs.select("rid", "xx", "text").join(need.hint("shuffle_hash"), ["rid", "xx"]).select("sha", normalised(F.col("text")).alias("text"))
+    texts = texts.filter(F.sha2("text", 256) == F.col("sha"))
     return texts.groupBy("sha").agg((F.min("text") != F.max("text")).alias("differ")).filter("differ").select("sha")
 
 
-def dedup(documents: DataFrame, in_snapshot: Column | None = None) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
-
-    in_snapshot says which rows are the standing snapshot; the rest is the
-    incoming batch. By default a hash of the id parts them in two.
-    """
-    docs = with_rid(documents)
+def _decided(documents: DataFrame, in_snapshot: Column | None) -> DataFrame:
+    """rid, xx, sha, keep, keep_xx and size of each row."""
+    docs = keyed(documents)
     if in_snapshot is None:
-        in_snapshot = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))), F.lit(2)) == 0
-    rows = materialise(digests(documents, F.coalesce(in_snapshot, F.lit(False)).alias("old")))
+        in_snapshot = F.pmod(F.xxhash64("rid"), F.lit(2)) == 0
+    rows = materialise(digests(docs, F.coalesce(in_snapshot, F.lit(False)).alias("old")))
     groups = materialise(grouped(rows, "old"))
     snapshot, batch = groups.filter("old"), groups.filter("not old")
-    buckets = max(1, -(-snapshot.count() // BUCKET_KEYS))
+    # both sides of a bucket meet in one task
+    most = groups.groupBy("old").count().agg(F.max("count")).first()[0] or 0
+    buckets = max(1, -(-most // BUCKET_KEYS))
 
     positive = screen(batch, build_filters(snapshot, buckets), buckets)
-    name = lambda df, n: df.select("sha", (-F.col("best.neg")).alias(n))
+    name = lambda df, n: df.select("sha", F.struct((-F.col("best.neg")).alias("rid"), F.col("best.xx").alias("xx")).alias(n))
     pairs = materialise(name(snapshot, "old").join(name(batch, "new").join(positive, "sha"), "sha"))
     other = _other_texts(docs, pairs).withColumn("apart", F.lit(1))
 
     parted = groups.join(other, "sha", "left").withColumn("part", F.when(F.col("old") | F.col("apart").isNull(), 0).otherwise(1)).select("sha", "old", "part", "best", "n")
     whole = parted.groupBy("sha", "part").agg(F.max("best").alias("best"), F.sum("n").alias("size"))
-    decided = parted.select("sha", "old", "part").join(whole, ["sha", "part"]).select("sha", "old", (-F.col("best.neg")).alias("keep"), "size")
-    out = rows.select("rid", "sha", "old").join(decided, ["sha", "old"])
+    decided = parted.select("sha", "old", "part").join(whole, ["sha", "part"]).select("sha", "old", (-F.col("best.neg")).alias("keep"), F.col("best.xx").alias("keep_xx"), "size")
+    return rows.select("rid", "xx", "sha", "old").join(decided, ["sha", "old"])
+
+
+def dedup(documents: DataFrame, in_snapshot: Column | None = None) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+
+    in_snapshot says which rows (of documents with rid and xx) are the standing
+    snapshot; the rest is the incoming batch. By default a hash of the id parts them.
+    """
+    out = _decided(documents, in_snapshot)
     return out.select(
         real_id(F.col("rid")).alias("doc_id"),
         real_id(F.col("keep")).alias("keep_id"),
@@ -125,7 +130,16 @@ def dedup(documents: DataFrame, in_snapshot: Column | None = None) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The documents with one of each group, all columns kept."""
-    key = documents.withColumn("__rid", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__sha", F.sha2(normalised(F.col("text")), 256))
-    kept = dedup(documents).filter("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__rid"), F.col("text_sha256").alias("__sha")).distinct()
-    return key.join(kept, ["__rid", "__sha"], "left_semi").dropDuplicates(["__rid", "__sha"]).drop("__rid", "__sha")
+    """The documents with one of each group, all columns kept. Rows are decided on without their texts."""
+    decided = materialise(_decided(documents, None))
+    stays = (F.col("rid") == F.col("keep")) & (F.col("xx") == F.col("keep_xx"))
+    return without(documents, decided.filter(~stays).select("rid", "xx"), decided.filter(stays).select("rid", "xx"))
+
+
+def without(documents: DataFrame, dropped: DataFrame, kept: DataFrame) -> DataFrame:
+    """The documents but for dropped rows (rid, xx); exact repeats of a kept row become one, which costs nothing where there are none."""
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rid"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("xx"))
+    rows = rows.join(dropped.distinct().hint("shuffle_hash"), ["rid", "xx"], "left_anti")
+    if not kept.groupBy("rid", "xx").count().filter("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["rid", "xx"])
+    return rows.select("row.*")

@@ -369,7 +369,9 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
 
 def keep_one(documents: DataFrame, percent: int = 85) -> DataFrame:
     """The documents with one of each near-duplicate group, all columns kept; rows of one doc_id and text become one."""
-    kept = _grouped(documents, percent).filter(F.struct("rid", "dig") == F.col("first")).select(F.col("rid").alias("__rid"), F.col("dig").alias("__dig")).distinct()
-    # one exchange on the key serves the join and the removal of repeated rows
-    key = documents.withColumn("__rid", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__dig", _digest(F.col("text")))
-    return key.join(kept, ["__rid", "__dig"], "left_semi").dropDuplicates(["__rid", "__dig"]).drop("__rid", "__dig")
+    decided = materialise(_grouped(documents, percent).select("rid", "dig", (F.struct("rid", "dig") == F.col("first")).alias("stays")))
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rid"), _digest(F.col("text")).alias("dig"))
+    rows = rows.join(decided.filter("not stays").distinct().hint("shuffle_hash"), ["rid", "dig"], "left_anti")
+    if not decided.filter("stays").groupBy("rid", "dig").count().filter("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["rid", "dig"])
+    return rows.select("row.*")
