@@ -42,7 +42,9 @@ from pyspark.sql import functions as F
 
 from driftlane.llm.common import NO_ID, Cache, dropped, materialise, real_id, space_words, splitmix, with_rid
 
-WIDTH, DEPTH, WINDOW = 5, 8, 16
+WIDTH, DEPTH, WINDOW = 5, 8, 4
+#: Parts that a region's rows are dealt into where they meet their region's summary.
+_SALT = 16
 #: At the percentage itself, an order is to show a pair at least so often, and all orders to miss it at most so often.
 SHOWN, MISSED = 0.4, 1e-4
 _BLOCK = 4096
@@ -343,8 +345,9 @@ def _grouped(documents: DataFrame, percent: int) -> DataFrame:
     comps = materialise(components(edges(comps).union(confirmed(texts, close, percent))))
 
     rest = with_comp(comps)
-    mixed = rest.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(f"n > {WINDOW + 1} and lo < hi").select("key")
-    dense = materialise(rest.join(mixed, "key", "left_semi").select("node", "comp").distinct())
+    mixed = rest.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(f"n > {WINDOW + 1} and lo < hi").select("key", F.explode(F.sequence(F.lit(0), F.lit(_SALT - 1))).alias("salt"))
+    rest = rest.withColumn("salt", F.pmod(F.col("pos"), F.lit(_SALT)).cast("int"))
+    dense = materialise(rest.join(mixed, ["key", "salt"], "left_semi").select("node", "comp").distinct())
     if not dense.isEmpty():
         pairs = _prefix_pairs(texts, dense, percent).join(steps.union(close), ["a", "b"], "left_anti")
         comps = components(edges(comps).union(confirmed(texts, pairs, percent)))
