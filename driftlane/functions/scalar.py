@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Outcome weights of events without a measured value (fixed values).
 OUTCOME_WEIGHTS = {
-    "walk": 0.69, "intent_walk": 0.69, "hit_by_pitch": 0.72, "single": 0.89, "double": 1.27, "triple": 1.62, "home_run": 2.10,
-    "strikeout": 0.0, "field_out": 0.0, "force_out": 0.0, "double_play": 0.0, "sac_fly": 0.0,
+    "walk": 0.69, "hit_by_pitch": 0.72, "single": 0.88, "double": 1.25, "triple": 1.58, "home_run": 2.03,
+    "strikeout": 0.0, "field_out": 0.0, "force_out": 0.0, "grounded_into_double_play": 0.0, "sac_fly": 0.0, "sac_bunt": 0.0,
 }
 
 
@@ -81,7 +81,7 @@ def approach_angle(v0: Column, a: Column, vy: Column, ay: Column, digits: int |
 def outcome_value(measured: Column, event: Column, weights: dict[str, float] = OUTCOME_WEIGHTS) -> Column:
     """The measured value, else the event's weight, else 0."""
     table = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
-    return F.coalesce(measured, F.try_element_at(table, event), F.lit(0.0))
+    return F.coalesce(clean(measured), F.try_element_at(table, F.lower(event)), F.lit(0.0))
 
 
 def strong_contact(speed: Column, angle: Column) -> Column:

@@ -25,7 +25,7 @@ def with_cusum(events: DataFrame, x: Column, p: Params, mean: Column | None = No
     out = events.withColumn("__inc", inc).withColumn("__c", F.when(F.col("__inc").isNotNull(), F.sum("__inc").over(_so_far(by))))
     out = out.withColumn("__s", F.col("__c") - F.least(F.lit(0.0), F.min("__c").over(_so_far(by))))
     s = F.when(F.col("__c").isNotNull(), F.col("__s"))
-    level = F.when(s >= 1.3 * p.cusum_h, "RED").when(s >= p.cusum_h, "AMBER").otherwise("GREEN")
+    level = F.when(s >= 1.3 * p.cusum_h, "RED").when(s >= p.cusum_h, "YELLOW").otherwise("GREEN")
     return out.withColumn(f"{name}_alert", S.is_true(s >= p.cusum_h)).withColumn(f"{name}_level", level).withColumn(name, S.rounded(s, digits)).drop("__inc", "__c", "__s")
 
 

@@ -72,29 +72,36 @@ def session_statistics(events: DataFrame, episodes: DataFrame, flag: Column, ava
     return out.fillna(0, counts).withColumn("clean", F.col("episodes") == 0)
 
 
+_SUMS = ("raw_warnings", "evaluable", "matched", "episodes", "opportunities", "available", "alert_events", "alert_targets", "quiet_events", "quiet_targets", "lead_sum")
+
+
 def metrics(stats: DataFrame, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
-    """All metrics from session statistics, in one aggregate; weight multiplies sessions (bootstrap)."""
-    w = F.col(weight) if weight else F.lit(1)
+    """All metrics from session statistics; weight multiplies sessions (bootstrap)."""
+    by, w = by or [], F.col(weight) if weight else F.lit(1)
     total = lambda c: F.sum(w * c).cast("long")
     clean = F.col("clean").cast("int")
-    sums = stats.groupBy(*(by or [])).agg(
+    sums = stats.groupBy(*by).agg(
         total(F.lit(1)).alias("sessions"), total(clean).alias("clean_sessions"), total(clean * (F.col("evaluable") > 0).cast("int")).alias("clean_warned"), total((F.col("available") > 0).cast("int")).alias("covered_sessions"),
-        *[total(F.col(c)).alias(c) for c in ("raw_warnings", "evaluable", "matched", "episodes", "opportunities", "available", "alert_events", "alert_targets", "quiet_events", "quiet_targets", "lead_sum")],
-        F.array_sort(F.flatten(F.collect_list(F.coalesce("leads", F.array().cast("array<bigint>"))))).alias("leads"),
+        *[total(F.col(c)).alias(c) for c in _SUMS],
     )
+    # percentile counts by value, and leads are no longer than the horizon, so no list of all leads is gathered
+    leads = stats.select(*by, w.alias("__w"), F.explode("leads").alias("lead")).groupBy(*by).agg(F.percentile("lead", F.lit(0.5), F.col("__w").cast("long")).alias("lead_median"))
+    return ratios(sums.join(leads, by, "left") if by else sums.crossJoin(F.broadcast(leads)))
+
+
+def ratios(sums: DataFrame) -> DataFrame:
+    """The metrics that are ratios of sums."""
     c = F.col
     rr, status = S.risk_ratio(S.ratio(c("alert_targets"), c("alert_events")), S.ratio(c("quiet_targets"), c("quiet_events")))
-    half = F.floor((F.size("leads") - 1) / 2).cast("int")
-    median = F.when(F.size("leads") > 0, (F.get("leads", half) + F.get("leads", F.floor(F.size("leads") / 2).cast("int"))) / 2)
     return sums.withColumns(
         {
             "censored": c("raw_warnings") - c("evaluable"), "false_warnings": c("evaluable") - c("matched"),
             "recall": S.ratio(c("matched"), c("episodes")), "precision": S.ratio(c("matched"), c("evaluable")),
             "false_per_session": S.ratio(c("evaluable") - c("matched"), c("sessions")), "clean_alarm_rate": S.ratio(c("clean_warned"), c("clean_sessions")),
             "event_coverage": S.ratio(c("available"), c("opportunities")), "session_coverage": S.ratio(c("covered_sessions"), c("sessions")),
-            "lead_mean": S.ratio(c("lead_sum"), c("matched")), "lead_median": median, "risk_ratio": rr, "risk_status": status,
+            "lead_mean": S.ratio(c("lead_sum"), c("matched")), "risk_ratio": rr, "risk_status": status,
         }
-    ).drop("leads", "lead_sum")
+    ).drop("lead_sum")
 
 
 def evaluate(events: DataFrame, episodes: DataFrame, flag: Column, available: Column, split: str, p: Params, by: list[str] | None = None) -> DataFrame:
@@ -109,11 +116,42 @@ def candidates(events: DataFrame, score: str, split: str, steps: int = 31) -> Da
     return found.filter("threshold is not null").union(events.sparkSession.range(1).select(F.lit(float("inf")))).distinct()
 
 
+def sweep_starts(events: DataFrame, score: str, grid: list[float]) -> DataFrame:
+    """Warning starts at every threshold of the (short) grid.
+
+    An event starts a warning at the thresholds over its direct predecessor's score and not over its own. So each event
+    is looked at once, and only starts are multiplied.
+    """
+    w = Window.partitionBy(*SESSION).orderBy("event_no")
+    seen = F.when(~F.coalesce("is_calibration", F.lit(True)), F.col(score))
+    before = F.when(F.lag("event_no").over(w) == F.col("event_no") - 1, F.lag(seen).over(w))
+    rows = events.select(*SESSION, "event_no", F.coalesce("is_censored", F.lit(True)).alias("censored"), seen.alias("__s"), before.alias("__b")).filter(F.col("__s").isNotNull() & (F.col("__b").isNull() | (F.col("__b") < F.col("__s"))))
+    own = F.filter(F.array(*[F.lit(float(g)) for g in grid]), lambda g: (g <= F.col("__s")) & (F.col("__b").isNull() | (g > F.col("__b"))))
+    return rows.select(*SESSION, F.col("event_no").alias("warning_no"), "censored", F.explode(own).alias("threshold"))
+
+
 def threshold_curve(events: DataFrame, episodes: DataFrame, score: str, split: str, p: Params, steps: int = 31, thresholds: DataFrame | None = None) -> DataFrame:
-    """Metrics at every candidate threshold, in one job; candidates are at most steps + 1 rows, so they are broadcast."""
-    grid = thresholds if thresholds is not None else candidates(events, score, split, steps)
-    own = events.filter(F.col("split") == split).crossJoin(F.broadcast(grid))
-    return evaluate(own, episodes, F.col(score) >= F.col("threshold"), F.col(score).isNotNull(), split, p, ["threshold"])
+    """Metrics at every candidate threshold (at most steps + 1); no row of events is multiplied by the grid."""
+    grid = sorted(r.threshold for r in (thresholds if thresholds is not None else candidates(events, score, split, steps)).collect())
+    spark, own = events.sparkSession, events.filter(F.col("split") == split)
+    eps = episodes.join(universe(events, split), SESSION, "left_semi").select(*SESSION, "onset_no")
+    starts = sweep_starts(own, score, grid)
+    found = match(starts.filter("not censored"), eps, F.lit(p.horizon), ["threshold"]).withColumn("lead", F.col("onset_no") - F.col("warning_no"))
+    chance, s, target = opportunity(), F.col(score), S.is_true(F.col("target"))
+    # events by the number of thresholds that they reach
+    reached = F.size(F.filter(F.array(*[F.lit(float(g)) for g in grid]), lambda g: g <= s))
+    levels = own.filter(chance & s.isNotNull()).groupBy(reached.alias("reached")).agg(F.count("*").alias("n"), F.count_if(target).alias("hits"))
+    every = spark.createDataFrame(list(enumerate(grid, 1)), "place int, threshold double")
+    over = F.col("reached") >= F.col("place")
+    alerts = every.crossJoin(F.broadcast(levels)).groupBy("threshold").agg(*[F.sum(F.when(c, F.col(v))).alias(n) for n, c, v in (("alert_events", over, "n"), ("alert_targets", over, "hits"), ("quiet_events", ~over, "n"), ("quiet_targets", ~over, "hits"))])
+    sick = eps.groupBy(*SESSION).agg(F.count("*").alias("episodes"))
+    scope = own.groupBy(*SESSION).agg(F.count_if(chance).alias("opportunities"), F.count_if(chance & s.isNotNull()).alias("available")).join(sick, SESSION, "left")
+    whole = scope.agg(F.count("*").alias("sessions"), F.count_if(F.col("episodes").isNull()).alias("clean_sessions"), F.count_if(F.col("available") > 0).alias("covered_sessions"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("episodes", "opportunities", "available")])
+    warned = starts.groupBy("threshold", *SESSION).agg(F.count("*").alias("raw"), F.count_if(~F.col("censored")).alias("ev")).join(sick, SESSION, "left")
+    warned = warned.groupBy("threshold").agg(F.sum("raw").alias("raw_warnings"), F.sum("ev").alias("evaluable"), F.count_if(F.col("episodes").isNull() & (F.col("ev") > 0)).alias("clean_warned"))
+    hits = found.groupBy("threshold").agg(F.count("*").alias("matched"), F.sum("lead").alias("lead_sum"), F.percentile("lead", F.lit(0.5)).alias("lead_median"))
+    out = every.select("threshold").crossJoin(F.broadcast(whole)).join(warned, "threshold", "left").join(hits, "threshold", "left").join(alerts, "threshold", "left")
+    return ratios(out.fillna(0, [*_SUMS, "clean_warned"]))
 
 
 def operating_threshold(curve: DataFrame, p: Params) -> DataFrame:

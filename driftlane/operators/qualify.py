@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftlane.functions.scalar import rank_hash
 from driftlane.params import Params
-from driftlane.sources.events import SESSION
+from driftlane.sources.events import SESSION, ContractError, assert_unique
 
 
 def with_counters(events: DataFrame, order: list[str], partition: list[str] = SESSION) -> DataFrame:
@@ -77,10 +77,22 @@ def qualify(events: DataFrame, shape: Column, spin: Column, p: Params, until: st
 
 
 def select_cohort(records: DataFrame, retained: DataFrame, target: int, least_starts: int, cutoff_season: int, seed: int) -> DataFrame:
-    """Retained entities, then the pool in the order of a seeded hash, to the target number."""
-    pool = records.filter(F.col("season") <= cutoff_season).groupBy("entity_id").agg(F.min("name").alias("name"), F.sum("starts").alias("starts")).filter(F.col("starts") >= least_starts)
+    """The pool of entities with enough starts, who of it is selected (retained, then the rest in the order of a seeded hash), and why.
+
+    Repeated (entity, season) records, retained entities outside the pool, and a target that doesn't fit are refused.
+    """
+    past = records.filter(F.col("season") <= cutoff_season)
+    assert_unique(past, ["entity_id", "season"], "records")
+    pool = past.groupBy("entity_id").agg(F.min_by("name", "season").alias("name"), F.sum("starts").alias("starts")).filter(F.col("starts") >= least_starts)
     keep = retained.select("entity_id").distinct()
-    need = max(0, target - keep.count())
-    fresh = pool.join(keep, "entity_id", "left_anti").withColumn("rank_hash", rank_hash(seed, F.col("entity_id"))).orderBy("rank_hash").limit(need)
-    old = pool.join(keep, "entity_id", "left_semi").withColumn("rank_hash", rank_hash(seed, F.col("entity_id")))
-    return old.withColumn("selected", F.lit("retained")).unionByName(fresh.withColumn("selected", F.lit("sampled")))
+    if not keep.join(pool, "entity_id", "left_anti").isEmpty():
+        raise ContractError("retained entities lack starts")
+    old, size = keep.count(), pool.count()
+    if not old <= target <= size:
+        raise ContractError(f"a target of {target} doesn't fit {old} retained entities and a pool of {size}")
+    pool = pool.withColumn("rank_hash", rank_hash(seed, F.col("entity_id")))
+    # at most target rows
+    fresh = pool.join(keep, "entity_id", "left_anti").orderBy("rank_hash").limit(target - old).select("entity_id", F.lit("SEEDED_SAMPLE").alias("why"))
+    why = fresh.unionByName(keep.select("entity_id", F.lit("RETAINED").alias("why")))
+    out = pool.join(why, "entity_id", "left")
+    return out.select("entity_id", "name", "starts", "rank_hash", F.col("why").isNotNull().alias("selected"), F.coalesce("why", F.lit("NOT_SAMPLED")).alias("selection_reason"), F.lit(f"{cutoff_season}-12-31").alias("selection_cutoff"), F.lit(seed).cast("long").alias("selection_seed"))

@@ -104,15 +104,23 @@ def ablation(events: DataFrame, features: list[str], subsets: dict[str, list[str
     return reduce(DataFrame.unionByName, out)
 
 
-def label_sensitivity(groups: DataFrame, settings: list[tuple[float, int]], p: Params) -> DataFrame:
-    """Episodes and sessions with one, per (threshold, window) setting."""
+def label_sensitivity(scored: DataFrame, groups: DataFrame, settings: list[tuple[float, int, int]], score: str, p: Params) -> DataFrame:
+    """For each (threshold, window, horizon): labels made anew, an operating threshold chosen on validation, warnings evaluated on test.
+
+    scored has events (with group_no, split, is_calibration and the score); labels never reach the score, so it's computed once.
+    """
     from dataclasses import replace
 
     out = []
-    for threshold, window in settings:
-        q = replace(p, label_threshold=threshold, label_groups=window)
-        found = episodes.episodes(episodes.flagged(groups, q))
-        out.append(found.agg(F.count("*").alias("episodes"), F.count_distinct(*SESSION).alias("sessions"), F.sum("n_groups").alias("bad_groups")).select(F.lit(float(threshold)).alias("threshold"), F.lit(window).cast("long").alias("window"), "episodes", "sessions", "bad_groups"))
+    for threshold, window, horizon in settings:
+        q = replace(p, label_threshold=threshold, label_groups=window, horizon=horizon)
+        flags = episodes.flagged(groups, q)
+        ev = materialise(episodes.labelled(scored, flags, q).select(*EVENT, "split", "is_calibration", "is_censored", "target", score))
+        eps = materialise(episodes.episodes(flags))
+        chosen = evaluate.operating_threshold(evaluate.threshold_curve(ev, eps, score, "validation", q), q).first()
+        found = evaluate.evaluate(ev, eps, F.col(score) >= F.lit(chosen.threshold), F.col(score).isNotNull(), "test", q)
+        named = [F.lit(float(threshold)).alias("threshold"), F.lit(window).cast("long").alias("window"), F.lit(horizon).cast("long").alias("horizon")]
+        out.append(found.select(*named, "episodes", "evaluable", "matched", "recall", "precision", "false_per_session", F.lit(chosen.threshold).alias("chosen"), F.lit(chosen.false_per_session).cast("double").alias("validation_false")))
     return reduce(DataFrame.unionByName, out)
 
 

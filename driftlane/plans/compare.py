@@ -21,6 +21,7 @@ def compare(events: DataFrame, episodes: DataFrame, p: Params, kinds: tuple[str,
     ev = features.context(events).withColumn("drop", features.value_drop(F.col("f1"), list(kinds), p)).withColumn("count", F.col("event_no").cast("double"))
     ev = models.logistic_scores(ev, ["c_event", "c_turn", "c_third"], "target", "contextual")
     ev = materialise(ev)  # read eight times below
+    evaluate.validate_events(ev)
     scores = {"proposed": "cusum", "contextual": "contextual", "value_drop": "drop", "event_count": "count"}
     frozen: dict[str, float] = {}
     for name, column in scores.items():

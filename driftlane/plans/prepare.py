@@ -107,14 +107,37 @@ def qualified_events(spark, sf):
     return out.groupBy("split", "kind").agg(F.count("*").alias("n"), F.count_if("followup_short").alias("short"), F.count_distinct("entity_id", "session_id").alias("n_sessions"))
 
 
-@register("""WITH pool AS (SELECT o_custkey AS entity_id, min(c_name) AS name, count(*) AS starts FROM orders JOIN customer ON o_custkey = c_custkey WHERE year(o_orderdate) <= 1997 GROUP BY 1 HAVING count(*) >= 5),
-r AS (SELECT *, sha256('20250917:' || entity_id) AS rank_hash FROM pool)
-SELECT *, 'retained' AS selected FROM r WHERE entity_id <= 20
-UNION ALL SELECT * FROM (SELECT *, 'sampled' FROM r WHERE entity_id > 20 ORDER BY rank_hash LIMIT 19)""")
+_RECORDS = "rec AS (SELECT o_custkey AS entity_id, c_name AS name, year(o_orderdate)::BIGINT AS season, count(*) AS starts FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"
+
+
+@register(f"""WITH {_RECORDS}, pool AS (SELECT entity_id, min(name) AS name, sum(starts)::BIGINT AS starts FROM rec WHERE season <= 1997 GROUP BY 1 HAVING sum(starts) >= 5),
+r AS (SELECT *, sha256('20250917:' || entity_id) AS rank_hash, row_number() OVER (ORDER BY entity_id) <= 20 AS old FROM pool), n AS (SELECT *, row_number() OVER (PARTITION BY old ORDER BY rank_hash) AS k FROM r)
+SELECT entity_id, name, starts, rank_hash, old OR k <= 20 AS selected, CASE WHEN old THEN 'RETAINED' WHEN k <= 20 THEN 'SEEDED_SAMPLE' ELSE 'NOT_SAMPLED' END AS selection_reason, '1997-12-31' AS selection_cutoff, 20250917::BIGINT AS selection_seed FROM n""")
 def hash_rank_cohort(spark, sf):
     orders, customers = table(spark, sf, "orders"), table(spark, sf, "customer")
-    rec = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_custkey").alias("entity_id"), F.col("c_name").alias("name"), F.year("o_orderdate").alias("season"), F.lit(1).cast("long").alias("starts"))
-    return qualify.select_cohort(rec, spark.range(0, 21).select(F.col("id").alias("entity_id")), 40, 5, 1997, 20250917)
+    rec = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("o_custkey").alias("entity_id"), F.col("c_name").alias("name"), F.year("o_orderdate").cast("long").alias("season")).agg(F.count("*").alias("starts"))
+    retained = rec.filter("season <= 1997").groupBy("entity_id").agg(F.sum("starts").alias("n")).filter("n >= 5").orderBy("entity_id").limit(20)
+    return qualify.select_cohort(rec, retained, 40, 5, 1997, 20250917)
+
+
+_EVENTS = [*S.OUTCOME_WEIGHTS, "balk"]
+_PICK = "['" + "', '".join(_EVENTS) + "'][(l_orderkey % 13) + 1]"
+
+
+@register(f"""WITH w AS (SELECT unnest([{", ".join(f"'{k}'" for k in S.OUTCOME_WEIGHTS)}]) AS e, unnest([{", ".join(map(str, S.OUTCOME_WEIGHTS.values()))}]::DOUBLE[]) AS v)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(CASE WHEN l_linenumber % 3 = 0 THEN l_discount * 10 ELSE coalesce(v, 0) END, 6) AS outcome FROM lineitem LEFT JOIN w ON e = {_PICK}""")
+def outcome_values(spark, sf):
+    name = F.element_at(F.array(*map(F.lit, _EVENTS)), (F.col("l_orderkey") % 13 + 1).cast("int"))
+    name = F.when(F.col("l_linenumber") == 2, F.upper(name)).otherwise(name)
+    value = S.outcome_value(F.when(F.col("l_linenumber") % 3 == 0, F.col("l_discount") * 10), name)
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(value, 6).alias("outcome"))
+
+
+@register("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(s >= 98 AND a BETWEEN 26 - (s - 98) AND 30 + (s - 98), false) AS strong
+FROM (SELECT *, CASE WHEN l_linenumber <> 5 THEN 70 + l_quantity END AS s, l_discount * 600 AS a FROM lineitem)""")
+def strong_contact(spark, sf):
+    speed = F.when(F.col("l_linenumber") != 5, 70 + F.col("l_quantity"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", S.strong_contact(speed, F.col("l_discount") * 600).alias("strong"))
 
 
 _ANGLE = "((l_extendedprice * 7) - 360 * floor((l_extendedprice * 7) / 360))"

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from driftlane.operators import detect, evaluate, studies
 from driftlane.params import small_sessions as P
-from driftlane.plans.registry import ALL, EV, GROUPS, SCORED, events, r6, register, table
-from driftlane.plans.scoring import F4, flagged_groups, full, scored
+from driftlane.plans.registry import ALL, CUSUM, EV, GROUPS, SCORED, events, r6, register, table
+from driftlane.plans.scoring import F4, detected, flagged_groups, full, scored
 from driftlane.sources.events import EVENT, SESSION
+from driftlane.sources.sinks import materialise
 
 LEVEL = 4.0
 
@@ -143,20 +144,28 @@ def lead_time_histogram(spark, sf):
     return evaluate.lead_histogram(found)
 
 
-_SETTINGS = [(0.55, 3), (0.65, 3), (0.75, 3), (0.65, 2), (0.65, 4)]
+_SETTINGS = [(0.55, 3, 6), (0.65, 3, 6), (0.75, 3, 6), (0.65, 2, 6), (0.65, 3, 4), (0.65, 3, 8), (0.65, 3, 10)]
 
 
-def _sensitivity_sql(threshold: float, window: int) -> str:
-    flags = GROUPS.replace(f"ROWS {P.label_groups - 1} PRECEDING", f"ROWS {window - 1} PRECEDING").replace(f"ro >= {P.label_threshold}", f"ro >= {threshold}")
-    return f"(WITH {EV}, {flags} SELECT {threshold}::DOUBLE AS threshold, {window}::BIGINT AS \"window\", count(*) AS episodes, count(DISTINCT (entity_id, session_id)) AS sessions, sum(n_groups)::BIGINT AS bad_groups FROM epi)"
+def _sensitivity_sql(threshold: float, window: int, horizon: int) -> str:
+    """Labels, choice on validation, evaluation on test, of one setting; `cu` comes from outside."""
+    groups = GROUPS.replace(f"ROWS {P.label_groups - 1} PRECEDING", f"ROWS {window - 1} PRECEDING").replace(f"ro >= {P.label_threshold}", f"ro >= {threshold}").replace(f"event_no + {P.horizon}", f"event_no + {horizon}").replace(f"event_no < {P.horizon}", f"event_no < {horizon}")
+    labels = f"{groups}, full_ev AS (SELECT cu.*, target, active, remaining, is_censored FROM cu JOIN lab USING (entity_id, session_id, event_no))"
+    curve = _VALID.removeprefix(f"{ALL}, ").replace(f"<= x[1] + {P.horizon})", f"<= x[1] + {horizon})")
+    test = f"own AS (SELECT * FROM full_ev WHERE split = 'test'), {_starts('own', 'cusum >= (SELECT threshold FROM best)', 'entity_id, session_id')}, evaluable AS (SELECT * FROM ws WHERE NOT is_censored), {_match('entity_id, session_id', 'evaluable', horizon)}"
+    return f"""(WITH {labels}, best AS (WITH {curve} SELECT threshold, fps FROM curve WHERE fps <= {P.allowance} ORDER BY coalesce(curve.recall, -1) DESC, coalesce(curve.precision, -1) DESC, fps, curve.threshold DESC LIMIT 1), {test},
+c AS (SELECT (SELECT count(DISTINCT (entity_id, session_id)) FROM own) AS s, (SELECT count(*) FROM epi WHERE (entity_id, session_id) IN (SELECT (entity_id, session_id) FROM own)) AS e, (SELECT count(*) FROM evaluable) AS ev, (SELECT count(*) FROM found) AS m)
+SELECT {threshold}::DOUBLE AS threshold, {window}::BIGINT AS "window", {horizon}::BIGINT AS horizon, e AS episodes, ev AS evaluable, m AS matched, round(m / e, 6) AS recall, CASE WHEN ev > 0 THEN round(m / ev, 6) END AS precision, round((ev - m) / s, 6) AS false_per_session, round(threshold, 6) AS chosen, round(fps, 6) AS validation_false FROM c, best)"""
 
 
-@register(" UNION ALL ".join(_sensitivity_sql(*s) for s in _SETTINGS))
+@register(f"WITH {CUSUM} " + " UNION ALL ".join(_sensitivity_sql(*s) for s in _SETTINGS))
 def label_sensitivity(spark, sf):
     from driftlane.operators import episodes
 
-    groups = episodes.groups(events(spark, sf), F.col("raw_outcome"), F.col("f1") >= 45, F.col("f4") >= 8)
-    return studies.label_sensitivity(groups, _SETTINGS, P)
+    scores = materialise(detected(spark, sf).select(*EVENT, "group_no", "split", "is_calibration", "cusum"))
+    groups = materialise(episodes.groups(events(spark, sf), F.col("raw_outcome"), F.col("f1") >= 45, F.col("f4") >= 8))
+    out = studies.label_sensitivity(scores, groups, _SETTINGS, "cusum", P)
+    return out.select("threshold", "window", "horizon", "episodes", "evaluable", "matched", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "false_per_session", "chosen", "validation_false")])
 
 
 @register(f"""WITH {SCORED}, x AS (SELECT entity_id, session_id, event_no, distance FROM sc WHERE distance IS NOT NULL),
@@ -229,6 +238,7 @@ def bootstrap_ci(spark, sf):
     return evaluate.bootstrap(stats, "session", P, "model", "cusum")
 
 
+@register()
 def feature_ablation(spark, sf):
     ev, eps = full(spark, sf)
     base = ev.select(*EVENT, "session_date", "kind", *F4, "split", "is_calibration", "target", "active", "is_censored")
@@ -236,6 +246,7 @@ def feature_ablation(spark, sf):
     return studies.ablation(base, F4, subsets, eps, base, P, dict(zip(F4, [25.0, 38.0, 5.0, 4.0], strict=True))).select("variant", "threshold", "recall", "precision", "false_per_session", "matched", "evaluable")
 
 
+@register()
 def model_comparison(spark, sf):
     """Four scores on identical sessions, thresholds frozen on validation before test is looked at."""
     from driftlane.plans.compare import compare
