@@ -33,13 +33,21 @@ WHITE = " \t\n\x0b\x0c\r"
 BUCKET_KEYS = 200_000
 
 
+def _rid() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
+def _xx() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), WHITE, "")
 
 
-def keyed(documents: DataFrame) -> DataFrame:
-    """Documents with rid and xx, which together name a row up to its exact repeats."""
-    return documents.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rid"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("xx"))
+def keyed(documents: DataFrame, *extra: Column) -> DataFrame:
+    """(rid, xx, text) of documents; rid and xx together name a row up to its exact repeats."""
+    return documents.select(_rid().alias("rid"), _xx().alias("xx"), "text", *extra)
 
 
 def digests(rows: DataFrame, *extra: Column) -> DataFrame:
@@ -92,10 +100,10 @@ def _other_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _decided(documents: DataFrame, in_snapshot: Column | None) -> DataFrame:
     """rid, xx, sha, keep, keep_xx and size of each row."""
-    docs = keyed(documents)
     if in_snapshot is None:
-        in_snapshot = F.pmod(F.xxhash64("rid"), F.lit(2)) == 0
-    rows = materialise(digests(docs, F.coalesce(in_snapshot, F.lit(False)).alias("old")))
+        in_snapshot = F.pmod(F.xxhash64(_rid()), F.lit(2)) == 0
+    docs = keyed(documents, F.coalesce(in_snapshot, F.lit(False)).alias("old"))
+    rows = materialise(digests(docs, F.col("old")))
     groups = materialise(grouped(rows, "old"))
     snapshot, batch = groups.filter("old"), groups.filter("not old")
     # both sides of a bucket meet in one task
@@ -116,8 +124,7 @@ def _decided(documents: DataFrame, in_snapshot: Column | None) -> DataFrame:
 def dedup(documents: DataFrame, in_snapshot: Column | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    in_snapshot says which rows (of documents with rid and xx) are the standing
-    snapshot; the rest is the incoming batch. By default a hash of the id parts them.
+    in_snapshot says which rows are the standing snapshot; the rest is the incoming batch. By default a hash of the id parts them.
     """
     out = _decided(documents, in_snapshot)
     return out.select(
@@ -138,7 +145,7 @@ def keep_one(documents: DataFrame) -> DataFrame:
 
 def without(documents: DataFrame, dropped: DataFrame, kept: DataFrame) -> DataFrame:
     """The documents but for dropped rows (rid, xx); exact repeats of a kept row become one, which costs nothing where there are none."""
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rid"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("xx"))
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), _rid().alias("rid"), _xx().alias("xx"))
     rows = rows.join(dropped.distinct().hint("shuffle_hash"), ["rid", "xx"], "left_anti")
     if not kept.groupBy("rid", "xx").count().filter("count > 1").isEmpty():
         rows = rows.dropDuplicates(["rid", "xx"])

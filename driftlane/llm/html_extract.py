@@ -1,15 +1,20 @@
 """Main text of a page by its maximum-scoring subsequence of words and tags.
 
-A page is read as a sequence of words and tags. Words outside boilerplate
-elements (menus, headers, footers, sidebars, notices, adverts, forms, comment
-lists, scripts, styles) score positive; tags and words inside such elements
-score negative. A linear scan finds the best contiguous region, and its words
-are the text, block by block.
+A page is read as a sequence of words and tags. Words score positive; tags, and
+words inside boilerplate, score negative. A linear scan finds the best
+contiguous region, and its words are the text, block by block.
 
-Weights come from labelled pages: pages with exactly one <article> say which
-tags stand inside the main text and which outside. A tag's weight is minus the
-smoothed share of its uses outside; a few times a word's weight if it never
-occurs inside. Executors count; one row per tag name comes to the driver.
+Weights come from labelled pages, those with exactly one <article>:
+
+- a tag's weight is minus the smoothed share of its uses outside the article;
+- an element is boilerplate by its name (menus, headers, footers, forms ...) or
+  by a class, id or role of which most elements of the labelled pages hold no
+  word of the article. Whole tokens count, so `share-price` isn't `share`. PRIOR
+  gives a few plain tokens some uses outside to start from.
+
+Counts are kept in a table of SLOTS hashed keys, so every tag and token of any
+number of pages counts and what goes to the driver is bounded. Work is linear
+in the page, broken ones too.
 
 Defined cases: null and empty pages and pages without words give the empty
 text; unclosed elements, comments and raw text end with the page; repeated rows
@@ -24,11 +29,16 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftlane.llm.common import Cache
+
 #: Elements whose content is text, not markup.
 RAW = frozenset("script style template noscript textarea svg math iframe object select xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,75 +48,128 @@ BLOCKS = frozenset(
 )
 #: Elements that hold no main text.
 BOILERPLATE = frozenset("head title nav header footer aside form button menu dialog label input".split())
-_MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|alert|sidebar|side|menu|nav|navbar|navigation|"
-    r"breadcrumb|breadcrumbs|comment|comments|reply|replies|disqus|discussion|share|sharing|social|related|recommended|popup|modal|overlay|newsletter|subscribe|signup|login|search|footer|header|masthead|toolbar|widget|pager|pagination|skip|hidden)(?:$|[\s_-])",
-    re.I,
+#: Class, id and role tokens that count as seen PRIOR times outside the article.
+KNOWN_TOKENS = tuple(
+    "ad ads advert advertisement advertising sponsored promo cookie-notice cookie-banner cookies consent sidebar breadcrumb breadcrumbs comments comment comment-list newsletter "
+    "navigation navbar banner contentinfo complementary search menu menubar".split()
 )
-_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
+PRIOR, OUTSIDE_SHARE, SLOTS = 50, 0.8, 1 << 18
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_INVISIBLE = re.compile(r"display\s*:\s*none", re.I)
 
 WORD, OUTSIDE_WORD = 1.0, -1.0
-LEAST_TAG, MOST_TAG, UNKNOWN_TAG = 0.02, 4.0, 0.5
+LEAST_TAG, MOST_TAG = 0.02, 4.0
+
+
+def slot(kind: str, name: str) -> int:
+    return xxhash.xxh64_intdigest(f"{kind}:{name}".encode("utf-8", "replace")) % SLOTS
 
 
-def _marked(attributes: str) -> bool:
+def _read(attributes: str) -> tuple[bool, list[str]]:
+    """Whether an element is hidden, and its class, id and role tokens."""
+    hidden, names = False, []
     for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and _MARKED.search(value) or name == "role" and value.lower() in _ROLES or name == "hidden" and value.lower() != "false":
-            return True
-        if name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name in ("class", "id", "role"):
+            names += value.split()
+        else:
+            hidden |= name == "hidden" and value != "false" or name == "aria-hidden" and value == "true" or name == "style" and bool(_INVISIBLE.search(value))
+    return hidden, names
+
 
+def tokens(page: str, marked=None, closed=None) -> Iterator[tuple[str, str, bool, int]]:
+    """(kind, value, boilerplate, article depth): kind is `text`, `open` or `close`.
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool, int]]:
-    """(kind, value, boilerplate, article depth): kind is `text`, `open` or `close`."""
+    marked(tokens) says whether an element with these tokens is boilerplate; closed(tokens, words, own) is told of each
+    element with tokens how many words it held, and how many of them in the article.
+    """
     at, open_, bad, articles = 0, [], 0, 0
+    standing: Counter = Counter()  # open elements by name
+    words, own = 0, 0
+
+    def pop():
+        nonlocal bad, articles
+        name, was, names, w, o = open_.pop()
+        standing[name] -= 1
+        bad -= was
+        articles -= name == "article"
+        if closed and names:
+            closed(names, words - w, own - o)
+        return name
+
     for m in _TOKEN.finditer(page):
         if m.start() < at:
             continue
         if m.start() > at:
-            yield "text", page[at : m.start()], bad > 0, articles
+            text = page[at : m.start()]
+            if closed and (n := len(text.split())):
+                words, own = words + n, own + n * (articles > 0)
+            yield "text", text, bad > 0, articles
         at = m.end()
         name = (m.group(2) or "").lower()
         if not name:
             continue
         if m.group(1):
             inside, depth = bad > 0, articles
-            if any(n == name for n, _ in open_):
-                while open_:
-                    n, was = open_.pop()
-                    bad -= was
-                    articles -= n == "article"
-                    if n == name:
-                        break
+            if standing[name]:
+                while pop() != name:
+                    pass
             yield "close", name, inside, min(depth, articles)
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.I).search(page, at)
+            end = _raw_end(name).search(page, at)
             at = end.end() if end else len(page)
             yield "open", name, True, articles
             continue
-        marked = _marked(m.group(3) or "")
+        hidden, names = _read(m.group(3) or "")
         # within the article a title block stays main text
-        was = marked or name in BOILERPLATE and not (name == "header" and articles)
+        was = hidden or bool(names and marked and marked(names)) or name in BOILERPLATE and not (name == "header" and articles)
         yield "open", name, bad > 0 or was, articles
         if name not in VOID and not (m.group(3) or "").endswith("/"):
-            open_.append((name, int(was)))
+            open_.append((name, int(was), names, words, own))
+            standing[name] += 1
             bad += was
             articles += name == "article"
     if at < len(page):
         yield "text", page[at:], bad > 0, articles
+    while open_:
+        pop()
+
+
+@cache
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.I)
 
 
 @dataclass
 class Weights:
-    tags: dict[str, float] = field(default_factory=dict)
+    """Uses inside and outside the article by slot."""
+
+    inside: np.ndarray = field(default_factory=lambda: np.zeros(SLOTS, np.int64))
+    outside: np.ndarray = field(default_factory=lambda: np.zeros(SLOTS, np.int64))
+
+    def __post_init__(self):
+        self.outside = self.outside.copy()
+        for name in KNOWN_TOKENS:
+            self.outside[slot("token", name)] += PRIOR
+        self._tags, self._tokens = Cache(self._tag, 10_000), Cache(self._token, 50_000)
+
+    def _tag(self, name: str) -> float:
+        k = slot("tag", name)
+        i, o = int(self.inside[k]), int(self.outside[k])
+        return -max(LEAST_TAG, MOST_TAG * ((o + 1) / (i + o + 2)) ** 3)
+
+    def _token(self, name: str) -> bool:
+        k = slot("token", name)
+        i, o = int(self.inside[k]), int(self.outside[k])
+        return (o + 0.5) / (i + o + 1) >= OUTSIDE_SHARE
 
     def tag(self, name: str) -> float:
-        return -self.tags.get(name, UNKNOWN_TAG)
+        return self._tags[name]
+
+    def marked(self, names: list[str]) -> bool:
+        return any(self._tokens[n] for n in names)
 
 
 def extract(page: str | None, weights: Weights) -> str:
@@ -114,7 +177,7 @@ def extract(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
     items, scores = [], []
-    for kind, value, bad, depth in tokens(page):
+    for kind, value, bad, depth in tokens(page, weights.marked):
         within = bad and depth > 0  # an insert in the article: no text, but no reason to end it either
         if kind == "text":
             value = html_lib.unescape(value)
@@ -144,28 +207,36 @@ def extract(page: str | None, weights: Weights) -> str:
     return "\n".join(blocks)
 
 
+_ARTICLE = re.compile(r"<article[\s>]", re.I)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     inside, outside = Counter(), Counter()
+    tags, names = Cache(lambda n: slot("tag", n), 10_000), Cache(lambda n: slot("token", n), 50_000)
+
+    def closed(found, words, own):
+        if words:
+            (inside if own else outside).update({names[n] for n in found})
+
     for batch in batches:
         for page in batch.column(0):
             page = page.as_py() or ""
-            if len(re.findall(r"<article[\s>]", page, re.I)) != 1:
-                continue
-            for kind, value, _, depth in tokens(page):
-                if kind != "text" and value.isalnum() and len(value) <= 16:
-                    (inside if depth else outside)[value] += 1
-    names = sorted({*inside, *outside})
-    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([inside[n] for n in names], pa.int64()), pa.array([outside[n] for n in names], pa.int64())], names=["tag", "inside", "outside"])
+            if len(_ARTICLE.findall(page)) == 1:
+                for kind, value, _, depth in tokens(page, closed=closed):
+                    if kind != "text":
+                        (inside if depth else outside)[tags[value]] += 1
+    found = sorted({*inside, *outside})
+    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([inside[n] for n in found], pa.int64()), pa.array([outside[n] for n in found], pa.int64())], names=["slot", "inside", "outside"])
 
 
 def train(pages: DataFrame) -> Weights:
-    """Tag weights from the pages that mark their article; only the KNOWN_TAGS most used names are kept."""
-    rows = pages.select("html").mapInArrow(_count, "tag string, inside long, outside long").groupBy("tag").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o"))
-    rows = rows.orderBy(F.desc(F.col("i") + F.col("o")), "tag").limit(KNOWN_TAGS).collect()
-    return Weights({r.tag: max(LEAST_TAG, MOST_TAG * ((r.o + 1) / (r.i + r.o + 2)) ** 3) for r in rows})
+    """Weights from the pages that mark their article; at most SLOTS sums come to the driver."""
+    rows = pages.select("html").mapInArrow(_count, "slot int, inside long, outside long").groupBy("slot").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).toArrow()
+    inside, outside = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+    inside[rows.column("slot").to_numpy()], outside[rows.column("slot").to_numpy()] = rows.column("i").to_numpy(), rows.column("o").to_numpy()
+    return Weights(inside, outside)
 
 
-KNOWN_TAGS = 500
 _ROWS = 128
 
 

@@ -9,7 +9,9 @@ equal values get equal pseudonyms in all documents; who holds the key can turn
 them back. The default key is for tests: pass a secret one.
 
 Kinds: email, card, phone, ipv4, iban, ssn, date, and secret (access key ids,
-quoted token and key values, password values).
+quoted token and key values, password values, private key blocks, three-part
+web tokens, personal access tokens). Four numbers after a word like `version`
+are no address.
 
 Defined cases: a null text stays null and has no spans; empty texts stay empty;
 numbers that fail validation stay as they are; repeated rows get equal
@@ -36,15 +38,16 @@ _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(209
 KINDS = ("email", "iban", "card", "phone", "ssn", "date", "ipv4", "secret")
 _PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-]))"
-    r"|(?P<secret>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:\b(?:password|passwd|pwd|secret|token|api_?key)\b\s*[=:]\s*[\"']?)[A-Za-z0-9+/_-]{8,})"
+    r"|(?P<secret>-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----|(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"
+    r"|(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}(?![A-Za-z0-9_-])|(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:\b(?:password|passwd|pwd|secret|token|api_?key)\b\s*[=:]\s*[\"']?)[A-Za-z0-9+/_-]{8,})"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"
     r"|(?P<date>(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}|\d{2}-\d{2}-\d{4})(?![\d/-]|\.\d))"
-    r"|(?P<ipv4>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d))"
+    r"|(?P<ipv4>(?<![\w.])(?<!(?i:version) )(?<!(?i:release) )(?<!(?i:section) )(?<!(?i:chapter) )\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))"
 )
-_MAYBE = re.compile(r"[0-9@]|AKIA|ASIA|(?i:passw|pwd|secret|token|key)")
+_MAYBE = re.compile(r"[0-9@]|AKIA|ASIA|PRIVATE|eyJ|gh[pousr]_|(?i:passw|pwd|secret|token|key)")
 
 
 class Feistel:
@@ -130,6 +133,10 @@ class Pseudonyms:
         return self._chars(local, "email", back) + "@" + host
 
     def _secret(self, value, back):
+        if block := re.fullmatch(r"(-----BEGIN [A-Z ]+-----)([^-]+)(-----END [A-Z ]+-----)", value):
+            return block[1] + self._chars(block[2], "secret", back) + block[3]
+        if value.startswith("eyJ"):  # each part keeps its beginning, so that it still reads as such a token
+            return ".".join(x[:3] + self._chars(x[3:], "secret", back) for x in value.split("."))
         at = re.search(r"[=:]\s*[\"']?", value)
         at = at.end() if at else 4
         hexed = next((_HEX_CLASSES[i : i + 1] for i, a in enumerate(_HEX_CLASSES) if set(value[at:]) <= set(a)), _CLASSES)
