@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import re
 import tempfile
 import uuid
 
@@ -60,19 +61,22 @@ def export_csv(df: DataFrame, path: str, **stamp: str) -> None:
     df.withColumns({k: F.lit(v) for k, v in stamp.items()}).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
-_own_dir: list[str] = []
-
-
 def materialise(df: DataFrame) -> DataFrame:
-    """Cuts lineage: writes df as Parquet in the folder named in spark.checkpoint.dir (a temporary one only where none is set) and reads it back."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    """Cuts lineage: writes df as Parquet in the folder named in spark.checkpoint.dir and reads it back; the files go when Spark ends.
+
+    Only in local mode, where all is one machine, a folder of its own stands in for a missing setting.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not _own_dir:
-            _own_dir.append(tempfile.mkdtemp(prefix="driftlane-"))
-        base = _own_dir[0]
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"{tempfile.gettempdir()}/driftlane-{spark.sparkContext.applicationId}"
     path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    fs, p = _fs(spark, path)
+    fs.deleteOnExit(p)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def stamped(df: DataFrame, **stamp: str) -> DataFrame:

@@ -169,7 +169,11 @@ def test_cohort_is_order_independent(spark):
     keep = spark.createDataFrame([(0,)], "entity_id long")
     a = qualify.select_cohort(rec, keep, 4, 30, 2024, 5)
     b = qualify.select_cohort(rec.orderBy(F.desc("entity_id")), keep, 4, 30, 2024, 5)
-    assert a.count() == 4 and a.exceptAll(b).isEmpty()
+    assert a.count() == 8 and a.filter("selected").count() == 4 and a.exceptAll(b).isEmpty()
+    assert {r.selection_reason for r in a.filter("entity_id = 0").collect()} == {"RETAINED"}
+    for wrong in ((rec.union(rec), keep, 4), (rec, spark.createDataFrame([(99,)], "entity_id long"), 4), (rec, keep, 9)):
+        with pytest.raises(E.ContractError):
+            qualify.select_cohort(*wrong, 30, 2024, 5)
 
 
 def test_publish_keeps_the_old_on_failure(spark, tmp_path):
