@@ -93,7 +93,7 @@ def counted(words: DataFrame) -> Counts:
     slots = F.array(*[F.struct(F.lit(row).alias("row"), F.shiftright(h, row * BITS).bitwiseAND(F.lit(SLOTS - 1)).alias("slot")) for row in range(ROWS)])
     sums = words.select("n", F.explode(slots).alias("s")).groupBy("s.row", "s.slot").agg(F.sum("n").alias("n")).toArrow()
     total, types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    out = Counts(total=total, types=types)
+    out = Counts(np.zeros((ROWS, SLOTS), np.float32), total, types)
     row, slot, n = (sums.column(c).to_numpy() for c in ("row", "slot", "n"))
     out.table[row, slot] = n
     return out
