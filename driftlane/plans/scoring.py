@@ -38,10 +38,10 @@ def full(spark, sf):
     return materialise(ev.join(labels, EVENT)), materialise(episodes.episodes(flags))
 
 
-@register(f"WITH {EV}, {BASE} SELECT entity_id, session_id, kind, k::INT AS k, n, state AS status, round(m0, 6) AS mean_0, round(m1 * n, 4) AS total_1, CASE WHEN v0 IS NOT NULL THEN round(greatest(1e-4, sqrt(v0)), 6) END AS sd_0 FROM base")
+@register(f"WITH {EV}, {BASE} SELECT entity_id, session_id, kind, k::INT AS k, n, state AS status, round(m0, 6) AS mean_0, round(m1 * n, 5) AS total_1, CASE WHEN v0 IS NOT NULL THEN round(greatest(1e-4, sqrt(v0)), 6) END AS sd_0 FROM base")
 def asof_baseline_stats(spark, sf):
     b = baseline.baselines(events(spark, sf), F2, P, PIVOT2)
-    return b.select("entity_id", "session_id", "kind", "k", "n", "status", *r6(mean_0=F.col("mean_0"), sd_0=F.col("sd_0")), F.round(F.col("mean_1") * F.col("n"), 4).alias("total_1"))
+    return b.select("entity_id", "session_id", "kind", "k", "n", "status", *r6(mean_0=F.col("mean_0"), sd_0=F.col("sd_0")), F.round(F.col("mean_1") * F.col("n"), 5).alias("total_1"))
 
 
 @register(f"WITH {EV}, {BASE} SELECT entity_id, session_id, kind, round(v0, 5) AS cov_0_0, round(c01, 5) AS cov_0_1, round(v1, 5) AS cov_1_1 FROM base WHERE state = 'QUALIFIED'")
