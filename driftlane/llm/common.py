@@ -9,6 +9,7 @@ import weakref
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,14 +104,29 @@ def space_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def tidied(run):
+    """The Arrow function run; after each batch it yields, memory that Arrow holds without use goes back to the system."""
+
+    def tidy(batches):
+        pool = pa.default_memory_pool()
+        for batch in run(batches):
+            yield batch
+            del batch
+            pool.release_unused()
+
+    return tidy
+
+
 class Cache(dict):
-    """A bounded memo of a function of one key."""
+    """A memo of a function of one key, bounded by keys and by their length (longer keys aren't kept)."""
 
-    def __init__(self, make, limit: int = 400_000):
-        self.make, self.limit = make, limit
+    def __init__(self, make, limit: int = 100_000, longest: int = 256):
+        self.make, self.limit, self.longest = make, limit, longest
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = value
         return value

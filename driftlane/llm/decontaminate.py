@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlane.llm.common import alnum_words, materialise, splitmix
+from driftlane.llm.common import alnum_words, materialise, splitmix, tidied
 
 NGRAM = 10
 SLICE_BYTES = 8 << 20
@@ -135,7 +135,7 @@ def inspect(documents: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, slic
     whole = None
     for items in slices(benchmark, n):
         table = rows.sparkSession.sparkContext.broadcast(Windows.build(items, ngram).state())
-        found = rows.mapInArrow(_inspector(table), "row long, doc_id long, n_words long, hit array<int>, items array<string>")
+        found = rows.mapInArrow(tidied(_inspector(table)), "row long, doc_id long, n_words long, hit array<int>, items array<string>")
         if whole is None:
             whole = found
         else:
@@ -197,21 +197,21 @@ def clean(documents: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, slice_
     n = n_slices(benchmark, slice_bytes)
     if n == 1:
         table = context.broadcast(Windows.build(next(slices(benchmark, n)), ngram).state())
-        return documents.mapInArrow(_cleaner(_without_all(table), columns), documents.schema)
+        return documents.mapInArrow(tidied(_cleaner(_without_all(table), columns)), documents.schema)
     rows, done = materialise(documents.withColumn("__row", F.monotonically_increasing_id())), []
     while True:
         found = []
         for items in slices(benchmark, n):
             table = context.broadcast(Windows.build(items, ngram).state())
             texts = rows.select("__row", F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-            one = texts.mapInArrow(_inspector(table), "row long, doc_id long, n_words long, hit array<int>, items array<string>")
+            one = texts.mapInArrow(tidied(_inspector(table)), "row long, doc_id long, n_words long, hit array<int>, items array<string>")
             found.append(materialise(one.filter("size(hit) > 0").select(F.col("row").alias("__row"), "hit")))
         hits = materialise(reduce(DataFrame.unionByName, found).groupBy("__row").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("__hit")))
         done.append(rows.join(hits, "__row", "left_anti").select(*columns))
         if hits.isEmpty():
             return reduce(DataFrame.unionByName, done)
         hit = rows.join(hits, "__row").select(*columns, "__row", "__hit")
-        rows = materialise(hit.mapInArrow(_cleaner(lambda: _without_united, hit.columns), hit.schema).drop("__hit"))
+        rows = materialise(hit.mapInArrow(tidied(_cleaner(lambda: _without_united, hit.columns)), hit.schema).drop("__hit"))
 
 
 def _without_all(table):

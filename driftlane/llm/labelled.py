@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlane.llm.common import crc_of_id_col
+from driftlane.llm.common import crc_of_id_col, tidied
 
 
 def training_rows(labels: DataFrame, column: str, modulus: int, held_out: int) -> DataFrame:
@@ -30,7 +30,7 @@ def featurised(documents: DataFrame, ids: list[int], extract, schema: str = "doc
     wanted = spark.createDataFrame([(i,) for i in ids], "doc_id long")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     rows = rows.join(F.broadcast(wanted), "doc_id", "left_semi")  # its size is that of the sample
-    return rows.mapInArrow(extract, schema).collect()
+    return rows.mapInArrow(tidied(extract), schema).collect()
 
 
 def word_hash(word: bytes) -> int:
@@ -54,5 +54,5 @@ def sigmoid(x):
 def scored(documents: DataFrame, score, modulus: int, held_out: int) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; score is an Arrow function of (doc_id, text as binary)."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    out = rows.mapInArrow(score, "doc_id long, score double")
+    out = rows.mapInArrow(tidied(score), "doc_id long, score double")
     return out.select("doc_id", (F.pmod(crc_of_id_col(), F.lit(modulus)) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

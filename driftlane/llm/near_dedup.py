@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlane.llm.common import NO_ID, Cache, dropped, materialise, real_id, space_words, splitmix, with_rid
+from driftlane.llm.common import NO_ID, Cache, dropped, materialise, real_id, space_words, splitmix, tidied, with_rid
 
 WIDTH, DEPTH, WINDOW = 5, 8, 4
 #: Parts that a region's rows are dealt into where they meet their region's summary.
@@ -216,7 +216,7 @@ def confirmed(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) of nodes whose full sets are similar enough; texts has node and text."""
     side = lambda n: texts.select(F.col("node").alias(n), F.col("text").alias(f"t{n}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb")
-    return materialise(both.mapInArrow(_confirmer(percent), "a long, b long"))
+    return materialise(both.mapInArrow(tidied(_confirmer(percent)), "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -288,12 +288,12 @@ def _prefix_pairs(texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
     of fixed size (any order is right; rarest first gives few pairs). The
     bound is put to cells of equal size and rest before nodes are paired.
     """
-    sets = materialise(texts.join(nodes, "node").select("node", "comp", "text").mapInArrow(_sets, "node long, comp long, s array<long>"))
-    slots = sets.select("s").mapInArrow(_counted, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()
+    sets = materialise(texts.join(nodes, "node").select("node", "comp", "text").mapInArrow(tidied(_sets), "node long, comp long, s array<long>"))
+    slots = sets.select("s").mapInArrow(tidied(_counted), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()
     sketch = np.ones(SKETCH, np.int32)
     sketch[slots.column("slot").to_numpy()] = np.minimum(slots.column("n").to_numpy(), 2**31 - 1)
     shared = texts.sparkSession.sparkContext.broadcast(sketch)
-    prefix = materialise(sets.mapInArrow(_prefixes(shared, percent), "node long, comp long, n long, rest long, s long"))
+    prefix = materialise(sets.mapInArrow(tidied(_prefixes(shared, percent)), "node long, comp long, n long, rest long, s long"))
     dropped(sets)
     cells = materialise(prefix.groupBy("s", "n", "rest").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")))
     mixed = cells.groupBy("s").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).filter("l < h").select("s")
@@ -315,7 +315,7 @@ def _grouped(documents: DataFrame, percent: int) -> DataFrame:
     spark = documents.sparkSession
     docs = with_rid(documents).select("rid", _digest(F.col("text")).alias("dig"), F.col("text").cast("binary").alias("text"))
     orders, least = forest(percent)
-    signed = materialise(docs.mapInArrow(_signer(orders), _SIGNED))
+    signed = materialise(docs.mapInArrow(tidied(_signer(orders)), _SIGNED))
     filled = signed.filter("n_shingles > 0")
     classes = filled.groupBy("cls").agg(F.min(F.struct("rid", "dig")).alias("rep"), F.first("sig").alias("sig"))
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()))
@@ -323,7 +323,7 @@ def _grouped(documents: DataFrame, percent: int) -> DataFrame:
     at = F.transform(F.sequence(F.lit(0), F.lit(orders - 1)), lambda t: F.struct(t.alias("ord"), F.substring("sig", t * (4 * DEPTH) + 1, F.lit(4 * DEPTH)).alias("sig")))
     by = ["ord", "sig", "node"]
     trees = classes.select("node", F.explode(at).alias("k")).select("k.ord", "k.sig", "node").repartitionByRange(*by).sortWithinPartitions(*by)
-    runs = materialise(trees.mapInArrow(_neighbours(least), _RUNS))
+    runs = materialise(trees.mapInArrow(tidied(_neighbours(least)), _RUNS))
     before, across = _borders(runs, least)
     starts = spark.createDataFrame(before, "pid int, start long")  # a row a partition
     placed = runs.join(F.broadcast(starts), "pid").select("node", "key", (F.col("start") + F.col("idx")).alias("pos"))

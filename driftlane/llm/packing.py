@@ -10,7 +10,7 @@ each document is cut where it is read.
 Tokens come from the tokenizer file at the given path. Since its rules never
 join anything across white space, the tokens of a text are those of its
 white-space separated chunks in order. A worker process remembers the tokens of
-chunks, bounded by MEMO chunks and MEMO_CHARS characters (some 100 MB): where it
+chunks, bounded by MEMO chunks and MEMO_CHARS characters (some 50 MB): where it
 is full, chunks that came only once since the last time go. The bound changes
 what is computed twice, never a result.
 
@@ -34,10 +34,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftlane.llm.common import tidied
+
 SEQUENCE = 2048
 END = 1
 #: Chunks and characters that one worker process remembers, and texts and bytes that are tokenized together.
-MEMO, MEMO_CHARS, GROUP, GROUP_BYTES = 350_000, 8_000_000, 2048, 6 << 20
+MEMO, MEMO_CHARS, GROUP, GROUP_BYTES = 150_000, 3_500_000, 2048, 6 << 20
 #: Chunks on which a tokenizer must show that it parts letters from a run of symbols and sends each to its model as bytes.
 _PROBES = ("a", "tokenizer", "qxzzyvk", "na\u00efvet\u00e9", "gr\u00f6\u00dfe***", "\u017eilje", "end.)", "%%%")
 _PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u024f]*)([!-&(-/:-@\[-`{-~]*)")
@@ -240,7 +242,7 @@ def pack(documents: DataFrame, tokenizer_path: str, digest: bool = False) -> Dat
     ids. sequence_id is unique; its numbers have gaps.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    pieces = rows.mapInArrow(_packer(tokenizer_path, digest), _SCHEMA.replace("ids array<int>", "ids_crc32 long") if digest else _SCHEMA)
+    pieces = rows.mapInArrow(tidied(_packer(tokenizer_path, digest)), _SCHEMA.replace("ids array<int>", "ids_crc32 long") if digest else _SCHEMA)
     return pieces.select(
         "*",
         F.monotonically_increasing_id().alias("sequence_id"),

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlane.llm.common import Cache, alnum_words, crc_of_id_col
+from driftlane.llm.common import Cache, alnum_words, crc_of_id_col, tidied
 from driftlane.llm.labelled import featurised, first_by_hash, one_column, scored, sigmoid, training_rows, word_hash
 
 MODULUS, HELD_OUT = 5, 0
@@ -183,4 +183,4 @@ def keep_clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
             scores = next(iter(scorer(iter([pa.RecordBatch.from_arrays([text, text], names=["doc_id", "text"])]))))
             yield batch.filter(pa.array([s < 0.5 for s in scores.column(1).to_pylist()], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidied(run), documents.schema)
