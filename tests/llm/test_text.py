@@ -7,10 +7,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from driftlane.llm import decontaminate, exact_dedup, html_extract, near_dedup, packing, pseudonyms, quality, queries, sharding, toxicity, url_filter
+from driftlane.llm.common import Cache, tidied
 from driftlane.llm.fuse_filter import BinaryFuse8
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -495,3 +497,15 @@ def test_pipeline_stages(spark, tmp_path, corpus):
     assert {500, 501} - kept["exact_dedup"] == {501} and {500, 502} - kept["near_dedup"] == {502}
     assert kept["packing"] == kept["decontamination"] >= {503, 504}
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == len(kept["packing"])
+
+
+def test_memo_is_bounded_and_right():
+    made = []
+    memo = Cache(lambda k: made.append(k) or len(k), limit=2, longest=3)
+    assert [memo[k] for k in (b"a", b"a", b"bb", b"long", b"long", b"ccc", b"a")] == [1, 1, 2, 4, 4, 3, 1]
+    assert made == [b"a", b"bb", b"long", b"long", b"ccc", b"a"] and len(memo) == 2
+
+
+def test_tidied_changes_no_batch():
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(n))], names=["x"]) for n in (3, 0, 5)]
+    assert list(tidied(iter)(batches)) == batches and list(tidied(iter)([])) == []
