@@ -6,6 +6,8 @@ a sweep over settings is one job, not a loop.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from driftlane.functions import scalar as S
 from driftlane.operators.detect import opportunity, warning_starts
 from driftlane.params import Params
 from driftlane.sources.events import EVENT, SESSION, ContractError
+from driftlane.sources.sinks import materialise
 
 
 def validate_events(events: DataFrame) -> None:
@@ -162,16 +165,31 @@ def operating_threshold(curve: DataFrame, p: Params) -> DataFrame:
     return best.select(F.coalesce("b.threshold", F.lit(float("inf"))).alias("threshold"), "b.recall", "b.precision", "b.false_per_session")
 
 
+def sums_before(levels: DataFrame, key: str, sums: list[str], by: list[str], descending: bool = False) -> DataFrame:
+    """Adds before_<c> (the sum over all rows that come before in the order of key) and all_<c>, within by.
+
+    The rows lie in range partitions; only their totals, a row per partition and by, are summed in one place.
+    """
+    order, same = (F.desc if descending else F.asc)(key), [*by, "__part"]
+    spread = materialise(levels.repartitionByRange(*by, order).withColumn("__part", F.spark_partition_id()))
+    totals, w = spread.groupBy(*same).agg(*[F.sum(c).alias(f"__{c}") for c in sums]), Window.partitionBy(*by)
+    ahead = w.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = totals.select(*[F.col(c).alias(f"__of_{c}") for c in same], *[F.coalesce(F.sum(f"__{c}").over(ahead), F.lit(0)).alias(f"__ahead_{c}") for c in sums], *[F.sum(f"__{c}").over(w).alias(f"all_{c}") for c in sums])
+    inside = Window.partitionBy(*same).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    run = spread.withColumns({f"__in_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
+    out = run.join(ends, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in same]))
+    return out.select(*levels.columns, *[(F.col(f"__ahead_{c}") + F.col(f"__in_{c}")).alias(f"before_{c}") for c in sums], *[f"all_{c}" for c in sums])
+
+
 def pr_auc(rows: DataFrame, score: str, label: Column, by: list[str] | None = None) -> DataFrame:
     """Area under the precision-recall line through all score levels, from (0, 1), by trapezoids."""
     by = by or []
     levels = rows.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("n"), F.count_if(S.is_true(label)).alias("pos"))
-    w = Window.partitionBy(*by).orderBy(F.desc(score))
-    run = levels.withColumns({"tp": F.sum("pos").over(w), "seen": F.sum("n").over(w), "all": F.sum("pos").over(Window.partitionBy(*by))})
-    run = run.withColumn("recall", S.ratio(F.col("tp"), F.col("all"))).withColumn("precision", F.col("tp") / F.col("seen"))
-    before_r, before_p = F.coalesce(F.lag("recall").over(w), F.lit(0.0)), F.coalesce(F.lag("precision").over(w), F.lit(1.0))
-    run = run.withColumn("area", (F.col("recall") - before_r) * (F.col("precision") + before_p) / 2)
-    return run.groupBy(*by).agg(F.sum("area").alias("pr_auc"), F.max("all").alias("positives"), F.sum("n").alias("rows"))
+    run, c = sums_before(levels, score, ["n", "pos"], by, descending=True), F.col
+    tp, seen = c("before_pos") + c("pos"), c("before_n") + c("n")
+    before_r, before_p = S.ratio(c("before_pos"), c("all_pos")), F.coalesce(S.ratio(c("before_pos"), c("before_n")), F.lit(1.0))
+    run = run.withColumn("area", (S.ratio(tp, c("all_pos")) - before_r) * (tp / seen + before_p) / 2)
+    return run.groupBy(*by).agg(F.sum("area").alias("pr_auc"), F.max("all_pos").alias("positives"), F.sum("n").alias("rows"))
 
 
 def lead_time(events: DataFrame, episodes: DataFrame, flag: Column, available: Column, split: str, p: Params) -> tuple[DataFrame, DataFrame]:

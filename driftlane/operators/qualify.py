@@ -22,17 +22,27 @@ def factorized(events: DataFrame, key: str, name: str = "group_no", partition: l
     return first.withColumn(name, F.dense_rank().over(w.orderBy("__first")).cast("long")).drop("__first")
 
 
-def starters(events: DataFrame, game: list[str], side: Column, order: list[str]) -> DataFrame:
-    """The first entity of each game and side."""
-    w = Window.partitionBy(*game, "side").orderBy(*order)
-    return events.withColumn("side", side).withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").select(*game, "side", "entity_id")
+def starters(events: DataFrame, game: list[str], side: Column, order: list[str], opening: Column | None = None) -> DataFrame:
+    """The first entity of each game and side, among the events of the opening part if one is told (none there: no starter)."""
+    rows = events.withColumn("side", side)
+    rows = rows if opening is None else rows.filter(opening)
+    return rows.groupBy(*game, "side").agg(F.min_by("entity_id", F.struct(*order)).alias("entity_id"))
 
 
-def outing_reasons(events: DataFrame, shape: Column, spin: Column, p: Params) -> DataFrame:
-    """One row per session: size, missing shares, and why it stays or goes (spin before shape before size)."""
+def started(events: DataFrame, opened: DataFrame, game: list[str]) -> DataFrame:
+    """The events of entities that started in their game, on either side."""
+    return events.join(opened.select(*game, "entity_id").distinct(), [*game, "entity_id"], "left_semi")
+
+
+def outing_reasons(events: DataFrame, shape: Column, spin: Column, p: Params, carried: tuple[str, ...] = ()) -> DataFrame:
+    """One row per session: size, missing shares, and why it stays or goes (spin before shape before size).
+
+    Carried columns (provenance) have their first known value in the session.
+    """
     stats = events.groupBy(*SESSION).agg(
         F.first("session_date", ignorenulls=True).alias("session_date"), F.max("event_no").alias("events"),
         F.avg(shape.isNull().cast("double")).alias("shape_missing"), F.avg(spin.isNull().cast("double")).alias("spin_missing"),
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("event_no"))).alias(c) for c in carried],
     )
     reason = (
         F.when(F.col("spin_missing") > p.max_missing, "MISSING_SPIN")

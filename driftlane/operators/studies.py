@@ -52,14 +52,43 @@ def average_rank(x: str, by: list[str]) -> Column:
     return F.rank().over(w.orderBy(x)) + (ties - 1) / 2
 
 
+def _corr(a: str, b: str) -> Column:
+    """The correlation; null where one side is constant (the built-in one fails there)."""
+    return S.ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def spearman(rows: DataFrame, a: str, b: str, by: list[str], least: int = 10, distinct: int = 3) -> DataFrame:
     """Rank correlation per group of enough rows and distinct values."""
     rows = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     ranked = rows.withColumn("__ra", average_rank(a, by)).withColumn("__rb", average_rank(b, by))
-    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct(a).alias("da"), F.count_distinct(b).alias("db"), F.corr("__ra", "__rb").alias("rho"))
+    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct(a).alias("da"), F.count_distinct(b).alias("db"), _corr("__ra", "__rb").alias("rho"))
     return out.filter((F.col("n") >= least) & (F.col("da") >= distinct) & (F.col("db") >= distinct)).select(*by, "n", "rho")
 
 
+def average_ranks(rows: DataFrame, x: str, by: list[str], name: str) -> DataFrame:
+    """The average rank of each value of x within by, without a window over all rows."""
+    levels = evaluate.sums_before(rows.groupBy(*by, x).agg(F.count("*").alias("n")), x, ["n"], by)
+    return levels.select(*by, x, (F.col("before_n") + (F.col("n") + 1) / 2).alias(name))
+
+
+def rank_correlations(rows: DataFrame, a: str, b: str, by: list[str], least: int = 10, distinct: int = 3) -> DataFrame:
+    """Per by (no nulls): rank correlation over all rows, and median, quartiles and share above 0.9 of that within sessions."""
+    rows = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    ranked = rows.join(average_ranks(rows, a, by, "__ra"), [*by, a]).join(average_ranks(rows, b, by, "__rb"), [*by, b])
+    pooled = ranked.groupBy(*by).agg(F.count("*").alias("n"), _corr("__ra", "__rb").alias("rho")).withColumn("pooled_rho", F.when(F.col("n") >= least, F.col("rho"))).drop("rho")
+    within = rows.select(*by, *SESSION).distinct().join(spearman(rows, a, b, [*by, *SESSION], least, distinct), [*by, *SESSION], "left").withColumn("rho", F.nanvl("rho", F.lit(None).cast("double")))
+    share = F.avg(F.when(F.col("rho").isNotNull(), (F.col("rho") > 0.9).cast("double")))
+    spread = within.groupBy(*by).agg(F.count("rho").alias("sessions"), F.count_if(F.col("rho").isNull()).alias("excluded_sessions"), F.percentile("rho", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"), share.alias("share_above_0_9"))
+    q = lambda i, name: F.get("q", i).alias(name)
+    return pooled.join(spread, by).select(*by, "n", "pooled_rho", "sessions", "excluded_sessions", q(0, "p25"), q(1, "median_rho"), q(2, "p75"), "share_above_0_9")
+
+
+def subgroup_metrics(stats: DataFrame, scales: DataFrame) -> DataFrame:
+    """Metrics by the entity's spread group; entities without training scores are in the fallback group."""
+    grouped = stats.join(scales.select("entity_id", "group"), "entity_id", "left")
+    return evaluate.metrics(grouped.withColumn("group", F.coalesce("group", F.lit("fallback"))), ["group"])
+
+
 def hypothesis_signs(rows: DataFrame, features: list[str], dominant: str = "dominant", tolerance: float = 5e-5) -> DataFrame:
     """Adds sign_status (direction of the dominant feature's delta) and the workload band."""
     delta = reduce(lambda acc, f: acc.when(F.col(dominant) == f[1], F.col(f"delta_{f[0]}")), enumerate(features), F.when(F.lit(False), F.lit(0.0)))

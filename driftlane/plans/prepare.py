@@ -63,6 +63,24 @@ def starter_first_event(spark, sf):
     return qualify.starters(df, ["session_id"], side, ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"])
 
 
+@register(f"""WITH l AS (SELECT *, {SESSION_SQL} AS game FROM lineitem), opened AS (
+  SELECT game, l_linestatus, arg_min(l_suppkey, (l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice)) AS l_suppkey FROM l WHERE l_linenumber = 1 GROUP BY 1, 2
+) SELECT game, l_suppkey AS entity_id, count(*) AS events FROM l WHERE (game, l_suppkey) IN (SELECT (game, l_suppkey) FROM opened) GROUP BY 1, 2""")
+def starter_outings(spark, sf):
+    """Outings of starters alone: first in the opening part (line 1) of the game, on either side; later ones are relief."""
+    day = F.col("l_shipdate")
+    df = table(spark, sf, "lineitem").withColumns({"entity_id": F.col("l_suppkey"), "game": (F.year(day) * 10 + F.quarter(day)).cast("long")})
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
+    opened = qualify.starters(df, ["game"], F.col("l_linestatus"), order, F.col("l_linenumber") == 1)
+    return qualify.started(df, opened, ["game"]).groupBy("game", "entity_id").agg(F.count("*").alias("events"))
+
+
+@register(f"WITH {EV} SELECT entity_id, session_id, arg_min(line_status, event_no) AS line_status, arg_min(kind, event_no) AS kind FROM ev GROUP BY 1, 2")
+def outing_provenance(spark, sf):
+    ev, shape, spin = _sessions(spark, sf)
+    return qualify.outing_reasons(ev, shape, spin, P, ("line_status", "kind")).select("entity_id", "session_id", "line_status", "kind")
+
+
 _SHAPE, _SPIN = "CASE WHEN event_no % 19 = 0 THEN NULL ELSE f1 END", "CASE WHEN event_no % 23 = 0 THEN NULL ELSE f2 END"
 _OUT = f"""{EV}, out AS (
   SELECT entity_id, session_id, min(session_date) AS session_date, max(event_no) AS events, avg(({_SHAPE} IS NULL)::INT) AS shape_missing, avg(({_SPIN} IS NULL)::INT) AS spin_missing FROM ev GROUP BY 1, 2

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from driftlane.operators import detect, evaluate, studies
 from driftlane.params import small_sessions as P
 from driftlane.plans.registry import ALL, CUSUM, EV, GROUPS, SCORED, events, r6, register, table
-from driftlane.plans.scoring import F4, detected, flagged_groups, full, scored
+from driftlane.plans.scoring import _FIT, F4, detected, flagged_groups, full, scored
 from driftlane.sources.events import EVENT, SESSION
 from driftlane.sources.sinks import materialise
 
@@ -175,6 +175,19 @@ def spearman_by_session(spark, sf):
     return studies.spearman(scored(spark, sf), "distance", "event_no", SESSION).withColumn("rho", F.round("rho", 6))
 
 
+@register(f"""WITH {SCORED}, x AS (SELECT entity_id, session_id, split, event_no, distance FROM sc WHERE distance IS NOT NULL),
+r AS (SELECT *, rank() OVER (PARTITION BY split ORDER BY distance) + (count(*) OVER (PARTITION BY split, distance) - 1) / 2 AS a, rank() OVER (PARTITION BY split ORDER BY event_no) + (count(*) OVER (PARTITION BY split, event_no) - 1) / 2 AS b,
+  rank() OVER (PARTITION BY entity_id, session_id ORDER BY distance) + (count(*) OVER (PARTITION BY entity_id, session_id, distance) - 1) / 2 AS sa, rank() OVER (PARTITION BY entity_id, session_id ORDER BY event_no) AS sb FROM x),
+pooled AS (SELECT split, count(*) AS n, CASE WHEN count(*) >= 10 THEN round(corr(a, b), 6) END AS pooled_rho FROM r GROUP BY 1),
+per AS (SELECT split, CASE WHEN count(*) >= 10 AND count(DISTINCT distance) >= 3 THEN corr(sa, sb) END AS rho FROM r GROUP BY split, entity_id, session_id)
+SELECT split, any_value(n) AS n, any_value(pooled_rho) AS pooled_rho, count(rho) AS sessions, count(*) FILTER (rho IS NULL) AS excluded_sessions, round(quantile_cont(rho, 0.25), 6) AS p25, round(median(rho), 6) AS median_rho, round(quantile_cont(rho, 0.75), 6) AS p75,
+  round(avg((rho > 0.9)::INT), 6) AS share_above_0_9 FROM per JOIN pooled USING (split) GROUP BY 1""")
+def rank_correlations(spark, sf):
+    rows = materialise(scored(spark, sf).select(*SESSION, "split", "event_no", "distance"))
+    out = studies.rank_correlations(rows, "distance", "event_no", ["split"])
+    return out.select("split", "n", "sessions", "excluded_sessions", *[F.round(c, 6).alias(c) for c in ("pooled_rho", "p25", "median_rho", "p75", "share_above_0_9")])
+
+
 _SIGNS = f"""{SCORED}, q AS (SELECT *, (f1 - cm0)**2 * a1 >= (f2 - cm1)**2 * a0 AS first_ FROM sc WHERE availability = 'AVAILABLE'), dl AS (SELECT *, CASE WHEN first_ THEN f1 - cm0 ELSE f2 - cm1 END AS dd FROM q),
 sg AS (SELECT *, CASE WHEN abs(dd) <= 5e-5 THEN 'neutral' WHEN dd > 0 THEN 'positive' ELSE 'negative' END AS sign, (event_no - 1) // 10 AS band, CASE WHEN first_ THEN 'f1' ELSE 'f2' END AS dom FROM dl)"""
 
@@ -226,6 +239,16 @@ def entity_metrics(spark, sf):
     return evaluate.metrics(_stats(spark, sf), ["entity_id"]).select("entity_id", "sessions", "episodes", "evaluable", "matched", F.round("recall", 6).alias("recall"))
 
 
+@register(f"""WITH {_STATS}, {_FIT}, g AS (SELECT entity_id, CASE WHEN weight IS NULL THEN 'fallback' WHEN std < ms THEN 'low' ELSE 'high' END AS grp FROM scale, (SELECT ms FROM med))
+SELECT coalesce(grp, 'fallback') AS "group", count(*) AS sessions, sum(episodes)::BIGINT AS episodes, sum(evaluable)::BIGINT AS evaluable, sum(matched)::BIGINT AS matched, CASE WHEN sum(episodes) > 0 THEN round(sum(matched) / sum(episodes), 6) END AS recall,
+  CASE WHEN sum(evaluable) > 0 THEN round(sum(matched) / sum(evaluable), 6) END AS precision, round(sum(evaluable - matched) / count(*), 6) AS false_per_session FROM st LEFT JOIN g USING (entity_id) GROUP BY 1""")
+def subgroup_metrics(spark, sf):
+    ev, eps = full(spark, sf)
+    stats = evaluate.session_statistics(ev, eps, *_flag(), "test", P)
+    out = studies.subgroup_metrics(stats, studies.dispersion_scales(scored(spark, sf).filter("split = 'train'"), "distance", P))
+    return out.select("group", "sessions", "episodes", "evaluable", "matched", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "false_per_session")])
+
+
 @register()
 def bootstrap_ci(spark, sf):
     ev, eps = full(spark, sf)

@@ -99,6 +99,46 @@ def test_pr_auc_equals_trapezoid(spark):
     assert got == pytest.approx(np.trapezoid(p, r), abs=1e-12)
 
 
+def test_sums_before_over_partitions_and_groups(spark):
+    rng = np.random.default_rng(7)
+    rows = [(g, float(x), int(rng.integers(1, 9))) for g in ("a", "b", None) for x in rng.permutation(60)[:40]]
+    df = spark.createDataFrame(rows, "g string, x double, n long").repartition(7)
+    for descending in (False, True):
+        for r in evaluate.sums_before(df, "x", ["n"], ["g"], descending).collect():
+            own = [(x, n) for g, x, n in rows if g == r.g]
+            assert r.before_n == sum(n for x, n in own if (x > r.x if descending else x < r.x))
+            assert r.all_n == sum(n for _, n in own)
+
+
+def test_pr_auc_of_nothing(spark):
+    empty = spark.createDataFrame([], "s double, y boolean")
+    assert evaluate.pr_auc(empty, "s", F.col("y")).first().pr_auc is None
+    assert evaluate.pr_auc(spark.createDataFrame([(0.5, False)], "s double, y boolean"), "s", F.col("y")).first().pr_auc is None
+
+
+def test_rank_correlations_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [("test", 1, s, i, float(rng.integers(0, 12))) for s in range(4) for i in range(12)] + [("test", 1, 9, i, float(i)) for i in range(12)] + [("test", 1, 10, i, 1.0) for i in range(9)]
+    got = studies.rank_correlations(spark.createDataFrame(rows, "split string, entity_id long, session_id long, event_no long, x double"), "x", "event_no", ["split"]).first()
+
+    def rank(v):
+        return [sum(o < x for o in v) + (sum(o == x for o in v) + 1) / 2 for x in v]
+
+    rho = lambda part: np.corrcoef(rank([r[4] for r in part]), rank([r[3] for r in part]))[0, 1]
+    within = [rho([r for r in rows if r[2] == s]) for s in (0, 1, 2, 3, 9)]
+    assert got.pooled_rho == pytest.approx(rho(rows)) and got.n == len(rows)
+    assert (got.sessions, got.excluded_sessions) == (5, 1) and got.share_above_0_9 == pytest.approx(np.mean(np.array(within) > 0.9))
+    assert [got.p25, got.median_rho, got.p75] == pytest.approx(np.quantile(within, [0.25, 0.5, 0.75]).tolist())
+
+
+def test_starters_need_the_opening_part(spark):
+    rows = [(1, "top", 2, 1, 7), (1, "top", 1, 2, 8), (1, "top", 1, 1, 9), (1, "bottom", 2, 1, 5), (2, "top", 1, 1, 7)]
+    df = spark.createDataFrame(rows, "game long, half string, part long, no long, entity_id long")
+    opened = qualify.starters(df, ["game"], F.col("half"), ["part", "no"], F.col("part") == 1)
+    assert {(r.game, r.side, r.entity_id) for r in opened.collect()} == {(1, "top", 9), (2, "top", 7)}
+    assert {(r.game, r.entity_id) for r in qualify.started(df, opened, ["game"]).collect()} == {(1, 9), (2, 7)}
+
+
 def test_rolling_circle_over_the_wrap(spark):
     df = frame(spark, [359.0, 1.0])
     out = df.withColumn("sd", features.rolling_circular_std(F.col("x"), 5, 2)).orderBy("event_no").collect()
