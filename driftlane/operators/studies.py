@@ -111,6 +111,29 @@ def matched_background(warnings: DataFrame, eligible: DataFrame, keys: list[str]
     return warnings.join(back, on, "left").drop(*[f"b_{k}" for k in keys])
 
 
+def excess_interval(rows: DataFrame, samples: int, seed: int) -> DataFrame:
+    """How much oftener warnings are positive than their background, with a percentile interval over resampled entities.
+
+    rows come from `matched_background`. Only one sum and count an entity go to the driver; draws are made in blocks.
+    With fewer than two entities there is no interval.
+    """
+    import numpy as np
+
+    known = rows.filter(F.col("sign_status").isin("positive", "negative") & F.col("background").isNotNull())
+    excess = (F.col("sign_status") == "positive").cast("double") - F.col("background")
+    found = known.groupBy("entity_id").agg(F.sum(excess).alias("total"), F.count("*").alias("n")).orderBy("entity_id").collect()
+    total, n = np.array([r.total for r in found]), np.array([r.n for r in found], np.int64)
+    low = high = None
+    if len(found) > 1:
+        rng, block, drawn = np.random.default_rng(seed), max(1, 1_000_000 // len(found)), []
+        for at in range(0, samples, block):
+            who = rng.integers(0, len(found), size=(min(block, samples - at), len(found)))
+            drawn.append(total[who].sum(axis=1) / n[who].sum(axis=1))
+        low, high = (float(x) for x in np.quantile(np.concatenate(drawn), [0.025, 0.975]))
+    row = (float(total.sum() / n.sum()) if found else None, low, high, len(found), int(n.sum()), samples if len(found) > 1 else 0)
+    return rows.sparkSession.createDataFrame([row], "estimate double, low double, high double, entities long, warnings long, replicates long")
+
+
 def shuffled(events: DataFrame, score: str, strata: list[str], seed: int, name: str = "shuffled") -> DataFrame:
     """Permutes the eligible scores within strata, by pairing two orders of the same rows."""
     ok = events.filter(detect_input(score))

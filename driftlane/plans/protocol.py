@@ -209,6 +209,13 @@ def matched_background(spark, sf):
     return out.select(*EVENT, "sign_status", F.round("background", 6).alias("background"), "background_n")
 
 
+@register()
+def excess_interval(spark, sf):
+    rows = materialise(_signed(spark, sf).select(*EVENT, "split", "kind", "band", "dominant", "sign_status", "distance"))
+    found = studies.matched_background(rows.filter("distance >= 3"), rows, ["split", "kind", "band", "dominant"])
+    return studies.excess_interval(found, P.bootstrap, P.seed)
+
+
 @register(f"""WITH {EV}, {GROUPS}, ch AS (SELECT epi.entity_id, epi.session_id, episode_id, onset_no, end_no, count(*) FILTER (event_no > {P.calibration} AND event_no >= onset_no - {P.horizon} AND event_no < onset_no) AS b, min(split) AS split FROM epi JOIN ev USING (entity_id, session_id) GROUP BY 1, 2, 3, 4, 5)
 SELECT split, count(*) AS episodes, median(end_no - onset_no + 1) AS median_length, median(b) AS median_before, count(*) FILTER (b = 0) AS undetectable, count(*) FILTER (onset_no <= {P.calibration}) AS in_calibration FROM ch GROUP BY 1""")
 def label_audit(spark, sf):

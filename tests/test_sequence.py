@@ -139,6 +139,21 @@ def test_starters_need_the_opening_part(spark):
     assert {(r.game, r.entity_id) for r in qualify.started(df, opened, ["game"]).collect()} == {(1, 9), (2, 7)}
 
 
+def test_excess_interval_equals_numpy(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(e), "positive" if rng.random() < 0.6 else "negative", float(rng.random())) for e in rng.integers(0, 30, 200)]
+    df = spark.createDataFrame([*rows, (1, "neutral", 0.5), (2, "positive", None)], "entity_id long, sign_status string, background double")
+    got = studies.excess_interval(df, 70_000, 3).first()
+    ids = sorted({r[0] for r in rows})
+    total = np.array([sum((s == "positive") - b for e, s, b in rows if e == i) for i in ids])
+    n = np.array([sum(e == i for e, _, _ in rows) for i in ids])
+    draws = np.random.default_rng(3).integers(0, len(ids), size=(70_000, len(ids)))
+    low, high = np.quantile(total[draws].sum(axis=1) / n[draws].sum(axis=1), [0.025, 0.975])
+    assert (got.estimate, got.low, got.high) == pytest.approx((total.sum() / n.sum(), low, high)) and (got.entities, got.warnings) == (len(ids), 200)
+    one = studies.excess_interval(df.filter("entity_id = 1"), 10, 3).first()
+    assert one.low is None and one.replicates == 0 and studies.excess_interval(df.limit(0), 10, 3).first().estimate is None
+
+
 def test_rolling_circle_over_the_wrap(spark):
     df = frame(spark, [359.0, 1.0])
     out = df.withColumn("sd", features.rolling_circular_std(F.col("x"), 5, 2)).orderBy("event_no").collect()
