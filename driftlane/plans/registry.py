@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from driftlane.params import small_sessions as P
 from driftlane.sources.events import sequence_view
+from driftlane.sources.sinks import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,6 +34,21 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence_view(table(spark, sf_dir, "lineitem"), P)
 
 
+#: Rows of events that a bucket holds, about.
+BUCKET_ROWS = 300_000
+
+
+def buckets(spark: SparkSession, sf_dir: str) -> int:
+    """How many buckets the events of a run are dealt into."""
+    return max(spark.sparkContext.defaultParallelism, math.ceil(table(spark, sf_dir, "lineitem").count() / BUCKET_ROWS))
+
+
+def bucketed_events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The events (those columns), shuffled once and written in buckets by entity."""
+    n = buckets(spark, sf_dir)
+    return materialise(sequence_view(table(spark, sf_dir, "lineitem").repartition(n, "l_suppkey"), P).select(*columns), "entity_id", n)
+
+
 def r6(**columns):
     """Columns rounded to 6 places under the given names."""
     return [F.round(c, 6).alias(n) for n, c in columns.items()]

@@ -8,6 +8,7 @@ import math
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,9 +62,28 @@ def export_csv(df: DataFrame, path: str, **stamp: str) -> None:
     df.withColumns({k: F.lit(v) for k, v in stamp.items()}).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
-def materialise(df: DataFrame) -> DataFrame:
+#: Shuffle files of a write go as soon as it ends, not when the driver happens to collect its garbage.
+_BRIEF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Rows that lie together by one of a join's keys aren't shuffled for the others, nor parted by a broadcast of the side that they come from.
+_IN_BUCKETS = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+
+
+@contextmanager
+def _settings(spark: SparkSession, **settings: str):
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def materialise(df: DataFrame, by: str | None = None, buckets: int | None = None) -> DataFrame:
     """Cuts lineage: writes df as Parquet in the folder named in spark.checkpoint.dir and reads it back; the files go when Spark ends.
 
+    With by and buckets, files are bucketed by that column: windows, groups and joins whose keys hold it need no shuffle.
     Only in local mode, where all is one machine, a folder of its own stands in for a missing setting.
     """
     spark = df.sparkSession
@@ -73,10 +93,28 @@ def materialise(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"{tempfile.gettempdir()}/driftlane-{spark.sparkContext.applicationId}"
     path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     fs, p = _fs(spark, path)
     fs.deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.option("compression", "zstd")
+    with _settings(spark, **_BRIEF, **(_IN_BUCKETS if buckets else {})):
+        if not (by and buckets):
+            writer.parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+        # only a table can tell its buckets; once it is read, the catalog needn't know it
+        name = f"driftlane_{uuid.uuid4().hex}"
+        writer.format("parquet").bucketBy(buckets, by).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+def discard(*steps: DataFrame) -> None:
+    """Deletes the files of materialised frames; nothing may read them, or what is lazily built on them, afterwards."""
+    for df in steps:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if re.fullmatch(r"step-[0-9a-f]{32}", folder.rsplit("/", 1)[1]):
+                fs, p = _fs(df.sparkSession, folder)
+                fs.delete(p, True)
 
 
 def stamped(df: DataFrame, **stamp: str) -> DataFrame:
