@@ -214,25 +214,38 @@ def lead_histogram(matches: DataFrame) -> DataFrame:
 def bootstrap(stats: DataFrame, unit: str, p: Params, models: str = "model", baseline: str | None = None) -> DataFrame:
     """Percentile intervals of recall, precision and false_per_session, with the same draws for every model.
 
-    Draws are numpy's on the driver, over sorted units; their counts per unit are joined to the session statistics.
+    Draws are numpy's on the driver, over sorted units. Units of equal sums count as one kind: the driver holds the number of
+    each unit's kind (4 bytes), the kinds, and a block of draws; what it adds up are counts of kinds.
     `unit` is `session` or `entity`. With a baseline model, differences baseline minus other come too.
     """
+    import json
+
     import numpy as np
 
     spark = stats.sparkSession
     name = F.col("entity_id") if unit == "entity" else F.concat_ws(":", F.col("session_id").cast("string"), F.col("entity_id").cast("string"))
-    units = [r[0] for r in stats.select(name.alias("u")).distinct().orderBy("u").collect()]
-    n = len(units)
-    kind = "long" if unit == "entity" else "string"
-    if not n:
-        raise ContractError("no sessions to resample")
-    draws = np.random.default_rng(p.seed).integers(0, n, size=(p.bootstrap, n))
-    counts = np.stack([np.bincount(d, minlength=n) for d in draws]).T  # a row per unit
-    multi = spark.createDataFrame([(u, row.tolist()) for u, row in zip(units, counts, strict=True)], f"u {kind}, m array<int>")
     sums = ["matched", "episodes", "evaluable", "sessions"]
-    per_unit = stats.withColumn("u", name).groupBy(models, "u").agg(*[F.sum(c).alias(c) for c in sums[:3]], F.count("*").alias("sessions"))
-    drawn = per_unit.join(multi, "u").select(models, *sums, F.posexplode("m").alias("replicate", "w")).filter("w > 0")
-    totals = drawn.groupBy(models, "replicate").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in sums])
+    per_unit = materialise(stats.withColumn("u", name).groupBy(models, "u").agg(*[F.sum(c).alias(c) for c in sums[:3]], F.count("*").alias("sessions")))
+    kinds = materialise(per_unit.groupBy("u").agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col(models).alias("model"), *sums)))).alias("kind")))
+    every = sorted(r.kind for r in kinds.select("kind").distinct().collect())
+    if not every:
+        raise ContractError("no sessions to resample")
+    numbered = spark.createDataFrame(list(enumerate(every)), "number int, kind string")
+    batches = kinds.join(numbered, "kind").orderBy("u").select("number").toArrow().column(0)
+    of_unit = batches.to_numpy()  # kinds of the units, which are sorted
+    n, names = len(of_unit), sorted({x["model"] for k in every for x in json.loads(k)}, key=str)
+    value = np.zeros((len(every), len(names), len(sums)), np.int64)
+    for i, k in enumerate(every):
+        for x in json.loads(k):
+            value[i, names.index(x["model"])] = [x[c] for c in sums]
+    rng, rows = np.random.default_rng(p.seed), []
+    for replicate in range(p.bootstrap):
+        times = np.zeros(len(every), np.int64)
+        for at in range(0, n, 1_000_000):  # blocks give the same draws as one matrix
+            times += np.bincount(of_unit[rng.integers(0, n, size=min(1_000_000, n - at))], minlength=len(every))
+        total = np.tensordot(times, value, 1)
+        rows += [(m, replicate, *map(int, total[j])) for j, m in enumerate(names) if total[j, 3]]
+    totals = spark.createDataFrame(rows, f"{models} {dict(stats.dtypes)[models]}, replicate int, {', '.join(f'{c} long' for c in sums)}")
     point = per_unit.groupBy(models).agg(*[F.sum(c).alias(c) for c in sums]).withColumn("replicate", F.lit(-1))
     c = F.col
     values = {"recall": S.ratio(c("matched"), c("episodes")), "precision": S.ratio(c("matched"), c("evaluable")), "false_per_session": S.ratio(c("evaluable") - c("matched"), c("sessions"))}
