@@ -286,7 +286,7 @@ def model_comparison(spark, sf):
     """Four scores on identical sessions, thresholds frozen on validation before test is looked at."""
     from driftlane.plans.compare import compare
 
-    return compare(*full(spark, sf), P)
+    return compare(*full(spark, sf, "kind", "group_no", "f1"), P, buckets=buckets(spark, sf))
 
 
 _ = r6
