@@ -11,7 +11,7 @@ from driftlane.functions import scalar as S
 from driftlane.operators import baseline, detect, episodes, evaluate
 from driftlane.params import Params
 from driftlane.sources.events import EVENT, SESSION, ContractError
-from driftlane.sources.sinks import materialise
+from driftlane.sources.sinks import discard, materialise
 
 
 def dispersion_scales(train: DataFrame, score: str, p: Params, least_sessions: int = 5, least_events: int = 30, prior: float | None = None) -> DataFrame:
@@ -142,17 +142,23 @@ def shuffled(events: DataFrame, score: str, strata: list[str], seed: int, name:
     return events.join(by_place.join(by_chance, [*strata, "__i"]).select(*EVENT, name), EVENT, "left")
 
 
-def ablation(events: DataFrame, features: list[str], subsets: dict[str, list[str]], eps: DataFrame, labelled: DataFrame, p: Params, pivots: dict[str, float], reference: tuple[float, float] | None = None) -> DataFrame:
-    """Metrics on test for detectors on feature subsets, each with its own re-inverted covariance and validation threshold."""
+def ablation(events: DataFrame, features: list[str], subsets: dict[str, list[str]], eps: DataFrame, labelled: DataFrame, p: Params, pivots: dict[str, float], reference: tuple[float, float] | None = None, buckets: int | None = None) -> DataFrame:
+    """Metrics on test for detectors on feature subsets, each with its own re-inverted covariance and validation threshold.
+
+    A variant's rows are deleted once its metrics are written. buckets: how many labelled events and episodes lie in by entity, if they do.
+    """
     out = []
     for name, subset in subsets.items():
         scored = baseline.scored(labelled, subset, p, [pivots[f] for f in subset])
+        scored = materialise(scored.select(*EVENT, "split", "is_calibration", "is_censored", "target", "distance"), "entity_id", buckets)
         mean, std = reference or reference_from_train(scored, "distance")
         found = detect.with_cusum(scored, F.col("distance"), p, F.lit(mean), F.lit(std))
-        found = materialise(found.select(*EVENT, "split", "is_calibration", "is_censored", "target", "cusum"))
+        found = materialise(found.select(*EVENT, "split", "is_calibration", "is_censored", "target", "cusum"), "entity_id", buckets)
         chosen = evaluate.operating_threshold(evaluate.threshold_curve(found, eps, "cusum", "validation", p), p).select("threshold")
         tested = found.crossJoin(F.broadcast(chosen))
-        out.append(evaluate.evaluate(tested, eps, F.col("cusum") >= F.col("threshold"), F.col("cusum").isNotNull(), "test", p, ["threshold"]).withColumn("variant", F.lit(name)))
+        result = evaluate.evaluate(tested, eps, F.col("cusum") >= F.col("threshold"), F.col("cusum").isNotNull(), "test", p, ["threshold"]).withColumn("variant", F.lit(name))
+        out.append(materialise(result))
+        discard(scored, found)
     return reduce(DataFrame.unionByName, out)
 
 
